@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import LOWER, UPPER, table
+from mosaiq.llm.common import table
 
 K, SLACK = 3, 2
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -42,36 +42,40 @@ TEMPLATES = (
 
 
 def words_of(text: Column) -> Column:
-    lowered = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    return F.array_remove(F.split(lowered, NOT_WORD), "")
+    """Lower-cased words. Other letters than A-Z are lowered too, which neither joins nor parts words, nor concerns the templates."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), "")
 
 
-def grams(words: str, k: int = K) -> Column:
-    """Array of (h, pos) over a column of words."""
+def gram_hashes(words: str, k: int = K) -> Column:
+    """The rolling hashes of k words of a column of words, in order."""
     n = F.size(words)
-    at = lambda i: F.struct(F.xxhash64(*[F.get(words, i + j) for j in range(k)]).alias("h"), i.alias("pos"))
-    return F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), at)).otherwise(F.array().cast("array<struct<h:bigint,pos:int>>"))
+    hashes = F.transform(words, lambda x, i: F.xxhash64(x, *[F.get(words, i + j) for j in range(1, k)]))
+    return F.when(n >= k, F.slice(hashes, F.lit(1), n - k + 1)).otherwise(F.array().cast("array<bigint>"))
 
 
 def template_grams(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     """(h, tid, tpos): at most the number of words in the templates."""
     rows = [(i, text) for i, (_, text, _, _) in enumerate(templates)]
     split = spark.createDataFrame(rows, "tid int, text string").select("tid", words_of(F.col("text")).alias("w"))
-    return split.select("tid", F.explode(grams("w")).alias("g")).select(F.col("g.h").alias("th"), "tid", F.col("g.pos").alias("tpos"))
+    return split.select("tid", F.posexplode(gram_hashes("w")).alias("tpos", "th"))
 
 
 def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES) -> DataFrame:
     """One row per document: doc_id, n_words, places (array of label, base, first, last, share).
 
     A marker without a hash travels with each row's grams, so that documents without hits stay and
-    repeated rows are counted, without a second pass over the texts.
+    repeated rows are counted, without a second pass over the texts. A text that shares no gram with
+    the templates, as a set operation on the two arrays of hashes tells, has the marker alone.
     """
     spark = documents.sparkSession
     rows = documents.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), words_of(F.col(text_col)).alias("w"))
+    side = F.broadcast(template_grams(spark, templates))
+    known = F.array(*[F.lit(r["th"]) for r in template_grams(spark, templates).select("th").distinct().collect()])
+    rows = rows.withColumn("h", gram_hashes("w")).select("doc_id", "key", F.size("w").alias("n"), "h")
     mark = F.array(F.struct(F.lit(None).cast("long").alias("h"), F.lit(-1).alias("pos")))
-    every = rows.select("doc_id", "key", F.size("w").alias("n"), F.explode(F.concat(mark, grams("w"))).alias("g"))
+    numbered = F.when(F.arrays_overlap("h", known), F.concat(mark, F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("pos"))))).otherwise(mark)
+    every = rows.select("doc_id", "key", "n", F.explode(numbered).alias("g"))
     every = every.select("doc_id", "key", "n", F.col("g.h").alias("h"), F.col("g.pos").alias("pos"))
-    side = F.broadcast(template_grams(spark, templates))
     hits = every.join(side, F.col("h") == F.col("th"), "left").where(F.col("tid").isNotNull() | (F.col("pos") < 0))
     diagonal = (
         hits.groupBy("doc_id", "key", "tid", (F.col("pos") - F.col("tpos")).alias("diag"))

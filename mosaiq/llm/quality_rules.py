@@ -23,9 +23,8 @@ from pyspark.sql import functions as F
 from mosaiq.llm.common import table
 from mosaiq.plans.scratch import materialise
 
-WHITE = r"[\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
-STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_shouts", "n_letters", "n_marked", "n_distinct")
+WHITE = r"[\x20\x09-\x0D]"
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_shouts", "n_marked", "n_distinct")
 
 
 @dataclass(frozen=True)
@@ -48,7 +47,6 @@ RULES = (
     Rule("symbols", "n_symbols / nullif(n_words, 0)", 0.02, 0.1),
     Rule("repeats", "n_repeat_words / nullif(n_words, 0)", 0.1, 0.3),
     Rule("marked_words", "n_marked / nullif(n_words, 0)", 0.02, 0.1),
-    Rule("few_letters", "n_letters / nullif(word_chars, 0)", 0.9, 0.85, falling=True),
     Rule("same_lines", "n_dup_lines / nullif(n_lines, 0)", 0.1, 0.3),
     Rule("long_words", "word_chars / nullif(n_words, 0)", 9.0, 12.0),
     Rule("short_words", "word_chars / nullif(n_words, 0)", 3.0, 2.0, falling=True),
@@ -58,29 +56,44 @@ RULES = (
 )
 
 
-def _removed(text: Column, letters: str) -> Column:
-    return (F.length(text) - F.length(F.translate(text, letters, ""))).cast("long")
+def words(text: Column) -> Column:
+    """Runs of non-white characters, with an empty string for each white character beyond the first of a run.
+
+    Nearly all texts hold no white space but blanks and line ends, for which splitting needs no regular expression.
+    """
+    plain = F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " ")
+    return F.when(text.rlike(r"[\x09\x0B-\x0D]"), F.split(text, WHITE)).otherwise(plain)
 
 
 def with_stats(documents: DataFrame, text_col: str = "text") -> DataFrame:
-    """``documents`` with the columns STATS, as one struct column ``st`` so that no name can clash."""
+    """``documents`` with the columns STATS, as one struct column ``st`` so that no name can clash.
+
+    Windows of three words are hashed; only texts whose hashes are not all distinct go on to find
+    the places of the repeated ones, by sorting (hash, place).
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words = F.array_remove(F.split(text, WHITE), "")
-    step = documents.select("*", words.alias("__w"), F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\f\r", "")) > 0).alias("__l"))
+    step = documents.select("*", text.alias("__t")).withColumn("__p", words(F.col("__t")))
+    step = step.withColumn("__w", F.array_remove("__p", ""))
     n = F.size("__w")
-    window = lambda i: F.struct(F.xxhash64(F.get("__w", i), F.get("__w", i + 1), F.get("__w", i + 2)).alias("h"), i.alias("i"))
-    step = step.withColumn("__g", F.when(n >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), window))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
-    twin = lambda x, k: F.when((x["h"] == F.get("__g", k - 1)["h"]) | (x["h"] == F.get("__g", k + 1)["h"]), x["i"])
-    step = step.withColumn("__s", F.array_compact(F.transform("__g", twin)))
-    covered = F.array_distinct(F.concat("__s", F.transform("__s", lambda i: i + 1), F.transform("__s", lambda i: i + 2)))
+    lines = F.split("__t", "\n")
+    blank_lines = F.col("__t").rlike(r"(?m)^[\x20\x09\x0B-\x0D]+$")
+    step = step.withColumn("__l", F.when(blank_lines, F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).otherwise(F.array_remove(lines, "")))
+    hashes = F.transform("__w", lambda x, i: F.xxhash64(x, F.get("__w", i + 1), F.get("__w", i + 2)))
+    step = step.withColumn("__h", F.when(n >= 3, F.slice(hashes, F.lit(1), n - 2)))
+    step = step.withColumn("__twice", F.size(F.array_distinct("__h")) < F.size("__h"))
+    placed = F.sort_array(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    step = step.withColumn("__g", F.when(F.col("__twice"), placed))
+    twin = lambda x, k: (x["h"] == F.get("__g", k - 1)["h"]) | (x["h"] == F.get("__g", k + 1)["h"])
+    step = step.withColumn("__s", F.when(F.col("__twice"), F.transform(F.filter("__g", twin), lambda x: x["i"])))
+    step = step.withColumn("__r", F.regexp_extract_all("__t", F.lit(r"[#*$%&|<>!]+"), F.lit(0))).withColumn("__j", F.array_join("__r", ""))
+    covered = F.size(F.array_distinct(F.concat("__s", F.transform("__s", lambda i: i + 1), F.transform("__s", lambda i: i + 2))))
+    n_symbols = F.length(F.replace("__j", F.lit("!"), F.lit("")))
     stats = {
-        "n_words": n, "word_chars": F.length(F.translate(text, " \t\n\x0b\f\r", "")), "n_symbols": _removed(text, SYMBOLS),
-        "n_dup_lines": F.size("__l") - F.size(F.array_distinct("__l")), "n_repeat_words": F.size(covered), "n_lines": F.size("__l"),
-        "n_upper": _removed(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"), "n_shouts": _removed(text, "!"),
-        "n_letters": F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]+", "")),
-        "n_marked": F.regexp_count(text, F.lit(r"[#*$%&|<>]+")), "n_distinct": F.size(F.array_distinct("__w")),
+        "n_words": n, "word_chars": F.length("__t") - F.size("__p") + 1, "n_symbols": n_symbols,
+        "n_dup_lines": F.size("__l") - F.size(F.array_distinct("__l")), "n_repeat_words": F.when(F.col("__twice"), covered).otherwise(0), "n_lines": F.size("__l"),
+        "n_upper": F.regexp_count("__t", F.lit(r"\p{Lu}")), "n_shouts": F.length("__j") - n_symbols, "n_marked": F.size("__r"), "n_distinct": F.size(F.array_distinct("__w")),
     }
-    return step.withColumn("st", F.struct(*[v.cast("long").alias(k) for k, v in stats.items()])).drop("__w", "__l", "__g", "__s")
+    return step.withColumn("st", F.struct(*[v.cast("long").alias(k) for k, v in stats.items()])).drop("__t", "__p", "__w", "__l", "__h", "__twice", "__g", "__s", "__r", "__j")
 
 
 def base_failed() -> Column:
@@ -137,7 +150,7 @@ def vote_patterns(stats: DataFrame) -> list[tuple[tuple[int, ...], int]]:
     return sorted((tuple(row)[:-1], row["count"]) for row in counted.collect())
 
 
-def judged(stats: DataFrame, model: LabelModel, threshold: float = 0.2) -> DataFrame:
+def judged(stats: DataFrame, model: LabelModel, threshold: float = 0.01) -> DataFrame:
     posterior = model.posterior()
     return (
         stats.withColumn("base_failed", base_failed())

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from mosaiq.llm import licenses, mixing, quality_rules
+from mosaiq.llm import language_model, licenses, mixing, packing, quality_classifier, quality_rules, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_source_mix": mixing.op2_source_mix,
+    "op4_quality_trees": quality_classifier.op4_quality_trees,
+    "op5_kneser_ney": language_model.op5_kneser_ney,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op8_license_scan": licenses.op8_license_scan,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
 ORACLE_SQL = {"op2_source_mix": mixing.OP2_SQL}
