@@ -12,6 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mosaiq.plans.ship import ship
+
 _LOCAL_DEFAULT = "/tmp/checkpoints"
 _runs: dict[str, str] = {}
 
@@ -48,6 +50,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet and return the written table."""
     spark = df.sparkSession
+    ship(spark)
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
