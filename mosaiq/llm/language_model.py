@@ -220,6 +220,7 @@ def _merged(group: pa.Table, dtype, width: int = 1) -> tuple[np.ndarray, np.ndar
 def train(rows: DataFrame, text_col: str, parts: int) -> Model:
     """Count the texts of ``rows``; ``parts`` is the number of ranges, to be raised with the size of the corpus."""
     spark = rows.sparkSession
+    ship(spark)
     uri = fresh_path(spark, "lm")
     texts = rows.select(F.col(text_col).alias("t"))
 
@@ -327,6 +328,7 @@ def train(rows: DataFrame, text_col: str, parts: int) -> Model:
 def score(rows: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id", held_out: Column | None = None) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     asked = rows.select(F.col(id_col).alias("doc_id"), (F.lit(False) if held_out is None else held_out).alias("held_out"), F.col(text_col).alias("t"))
+    ship(rows.sparkSession)
     kind = asked.schema["doc_id"].dataType.simpleString()
 
     def run(batches):

@@ -114,6 +114,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality") -> Fo
 
 def with_score(documents: DataFrame, forest: Forest, text_col: str, keep: list[str], threshold: float | None = None) -> DataFrame:
     """The columns ``keep`` and ``__score``; only rows from ``threshold`` on, where given."""
+    ship(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(forest)  # some 10 KB, whatever the data
     asked = documents.select(*keep, F.col(text_col).alias("__text"))
 

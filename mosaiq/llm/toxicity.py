@@ -141,6 +141,7 @@ def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     """Rows (doc_id, score, n_sentences located, sentences: their numbers, sentence_scores)."""
     asked = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
     kind = asked.schema["doc_id"].dataType.simpleString()
+    ship(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)  # at most MOST weights, whatever the data
 
     def run(batches):
