@@ -38,13 +38,17 @@ from mosaiq.plans.ship import ship
 #: A word never holds a space, so this hash belongs to the end alone.
 END = xxhash.xxh3_64_intdigest(b" end")
 #: A task sums up its counts whenever it has seen this many tokens.
-FLUSH_TOKENS = 3_000_000
+FLUSH_TOKENS = 1_500_000
+#: Texts read at a time, so that a worker's memory does not follow the size of Spark's batches.
+ROWS = 2000
 
 U64, BLOCK = np.uint64, "part int, keys binary, values binary"
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words per text, index of each word into the hashes, hashes of the distinct words)."""
+    # a copy that begins at offset 0: lowering a slice of another array gives wrong letters in pyarrow 23
+    texts = pa.concat_arrays([texts.slice(0, 0), texts])
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string()).fill_null("")))
     flat, bounds = lists.flatten(), np.diff(lists.offsets.to_numpy())
     full = pc.greater(pc.binary_length(flat), 0)
@@ -56,6 +60,12 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.bincount(owner, minlength=len(bounds)), words.indices.to_numpy(zero_copy_only=False), hashes
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a in range(0, batch.num_rows, ROWS):
+            yield batch.slice(a, ROWS)
+
+
 def streams(begin: int, end: int, of: np.ndarray, counts: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(previous id, id, text) of every token, the end included, for words ``of[index]``."""
     doc = np.repeat(np.arange(len(counts)), counts + 1)
@@ -227,7 +237,7 @@ def train(rows: DataFrame, text_col: str, parts: int) -> Model:
 
     def count_words(batches):
         keys, counts, held = [], [], 0
-        for batch in batches:
+        for batch in slices(batches):
             per, index, hashes = tokens(batch.column(0))
             keys += [hashes, np.asarray([END], U64)]
             counts += [np.bincount(index, minlength=len(hashes)), np.asarray([len(per)])]
@@ -263,7 +273,7 @@ def train(rows: DataFrame, text_col: str, parts: int) -> Model:
             k, c = np.unique(np.concatenate(keys), return_counts=True)
             return blocks(k, c.astype(np.uint32), part_of(k, parts))
 
-        for batch in batches:
+        for batch in slices(batches):
             per, index, hashes = tokens(batch.column(0))
             if len(per):
                 before, now, _ = streams(begin, end, model.ids(hashes), per, index)
@@ -334,9 +344,7 @@ def score(rows: DataFrame, model: Model, text_col: str = "text", id_col: str = "
 
     def run(batches):
         end = int(model.ids(np.asarray([END], U64))[0])
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             per, index, hashes = tokens(batch.column(2))
             before, now, doc = streams(model.vocabulary, end, model.ids(hashes), per, index)
             ids, back = np.unique(now, return_inverse=True)
