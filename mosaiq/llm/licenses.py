@@ -116,3 +116,30 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(first).cast("long").alias("first_word"), F.array_max(first).cast("long").alias("last_word"),
         joined(base).alias("base_labels"), joined(F.col("places")).alias("labels"), F.coalesce(F.array_max(F.transform("places", lambda p: p["share"])), F.lit(0.0)).alias("score"),
     )
+
+
+def oracle_sql(templates=TEMPLATES) -> str:
+    """The same scan as SQL for DuckDB, with grams compared as texts."""
+    rows = ", ".join(f"({i}, '{label}', '{text}', {share}::DOUBLE, {base}, {len(text.split())})" for i, (label, text, share, base) in enumerate(templates))
+    return rf"""
+WITH t(tid, label, txt, least_share, is_base, len) AS (VALUES {rows}),
+tw AS (SELECT tid, string_split(txt, ' ') AS w FROM t),
+ti AS (SELECT tid, w, unnest(range(1, len(w) - 1)) AS i FROM tw),
+tg AS (SELECT tid, i - 1 AS tpos, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM ti),
+d AS (SELECT row_number() OVER () AS rid, doc_id,
+             list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+di AS (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d),
+hits AS (SELECT rid, tid, i - 1 AS pos, tpos FROM di JOIN tg ON g = w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]),
+diag AS (SELECT rid, tid, pos - tpos AS diag, min(pos) AS first, max(pos) AS last, list(DISTINCT tpos) AS cover FROM hits GROUP BY 1, 2, 3),
+stepped AS (SELECT diag.*, t.is_base, t.label, t.least_share, t.len, row_number() OVER o AS n,
+                   CASE WHEN diag - lag(diag) OVER o <= {SLACK} THEN 0 ELSE 1 END AS step FROM diag JOIN t USING (tid) WINDOW o AS (PARTITION BY rid, tid ORDER BY diag)),
+placed AS (SELECT *, CASE WHEN is_base THEN n ELSE sum(step) OVER (PARTITION BY rid, tid ORDER BY diag ROWS UNBOUNDED PRECEDING) END AS place FROM stepped),
+merged AS (SELECT rid, tid, place, any_value(is_base) AS is_base, any_value(label) AS label, any_value(least_share) AS least_share, any_value(len) AS len,
+                  min(first) AS first, max(last) + {K} AS finish, len(list_distinct(flatten(list(cover)))) AS covered FROM placed GROUP BY 1, 2, 3),
+found AS (SELECT *, covered / (len - {K} + 1)::DOUBLE AS share FROM merged WHERE covered / (len - {K} + 1)::DOUBLE >= least_share AND finish - first <= len * 1.5 + {SLACK}),
+per AS (SELECT rid, count(*) FILTER (is_base) AS n_base, min(first) FILTER (is_base) AS first_word, max(first) FILTER (is_base) AS last_word,
+               array_to_string(list_sort(list(DISTINCT label) FILTER (is_base)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels,
+               max(least(share, 1.0)) AS score FROM found GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0.0) AS DOUBLE) AS score FROM d LEFT JOIN per USING (rid)
+"""
