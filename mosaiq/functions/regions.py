@@ -86,7 +86,7 @@ def to_slice(s: Column, size: Column) -> Column:
     size = size.cast("double")
     inside = lambda v: F.least(F.greatest(v, F.lit(0.0)), size).cast("int")
     first = inside(F.floor(F.coalesce(s["start"], F.lit(0.0))).cast("double"))
-    stop = F.coalesce(inside(F.ceil(end_of(s)).cast("double")), size.cast("int"))
+    stop = F.when(end_of(s).isNull(), size.cast("int")).otherwise(inside(F.ceil(end_of(s)).cast("double")))
     return F.struct(first.alias("first"), stop.alias("stop"))
 
 
