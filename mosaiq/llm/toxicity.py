@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +32,7 @@ from mosaiq.plans.ship import ship
 BITS = 22
 #: The training sample: rows of each label, and the longest text learned from.
 SAMPLE, MAX_CHARS = {1: 2500, 0: 3500}, 20_000
-#: A gram must occur in so many documents, and speak for toxicity by a likelihood ratio of this size; at most MOST are kept.
+#: A gram's words must occur so often (once per document), and speak for toxicity by a likelihood ratio of this size; at most MOST are kept.
 LEAST_DOCS, LEAST_RATIO, MOST = 4, 20.0, 4000
 ROUNDS, RATE, DECAY, START = 200, 0.1, 0.3, -5.0
 KEPT_WORDS = 500_000
@@ -59,23 +60,18 @@ class Model:
 
 
 def telling(sample: list[tuple[str, int]]) -> dict[int, int]:
-    """The grams worth a weight, numbered: by the likelihood ratio of their documents' labels."""
-    seen = np.zeros((2, 1 << BITS), np.int32)
-    kept: dict[str, list[int]] = {}
+    """The grams worth a weight, numbered: by the likelihood ratio of the labels of the documents with their words."""
+    by_label: tuple[Counter, Counter] = (Counter(), Counter())
     for text, y in sample:
-        slots: set[int] = set()
-        for w in set(WORD.findall(text.lower())):
-            if w not in kept:
-                kept[w] = grams(w)
-            slots.update(kept[w])
-        seen[y, list(slots)] += 1
-    all_neg, all_pos = (max(sum(y == k for _, y in sample), 1) for k in (0, 1))
-    slots = np.flatnonzero(seen.sum(0) >= LEAST_DOCS)
+        by_label[y].update(set(WORD.findall(text.lower())))
+    seen = np.zeros((2, 1 << BITS), np.int64)
+    for y in (0, 1):
+        for word, many in by_label[y].items():
+            seen[y, grams(word)] += many
+    share = by_label[1].total() / max(by_label[0].total() + by_label[1].total(), 1)
+    slots = np.flatnonzero((seen.sum(0) >= LEAST_DOCS) & (seen[1] > share * seen.sum(0)))
     n, k = seen[:, slots].sum(0).astype(float), seen[1, slots].astype(float)
-    total, share = all_pos + all_neg, all_pos / (all_pos + all_neg)
-    part = lambda k, n: np.where(k > 0, k * np.log(np.maximum(k, 1) / n), 0) + np.where(n > k, (n - k) * np.log(np.maximum(n - k, 1) / n), 0)
-    ratio = 2 * (part(k, n) + part(all_pos - k, np.maximum(total - n, 1)) - part(np.float64(all_pos), np.float64(total)))
-    ratio[k / n <= share] = 0
+    ratio = 2 * (k * np.log(k / (n * share)) + np.where(n > k, (n - k) * np.log(np.maximum(n - k, 1) / (n * (1 - share))), 0))
     best = np.argsort(-ratio, kind="stable")[:MOST]
     return {int(slots[i]): j for j, i in enumerate(best[ratio[best] >= LEAST_RATIO])}
 
