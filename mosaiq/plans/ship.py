@@ -11,8 +11,14 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+#: Rows that Python workers get at a time where the session has Spark's default: texts are long.
+BATCH_ROWS = "1000"
+
+
 def ship(spark: SparkSession) -> None:
     """Hand the package to the executors, once per application; some hundred KB served by the driver."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
