@@ -13,8 +13,10 @@ Equal documents (same words in order) are one class. Classes that agree in a ban
 candidates: with 24 bands of 4 a pair at similarity 0.8 is missed with probability 3e-6. Candidates
 are verified by the exact multiset overlap and joined by connected components, in three rounds that
 spare pairs which are already connected: the best link of each class to the leader of a shared
-bucket, the remaining links to leaders, and then all pairs of a bucket that still lie in different
-components. So nothing within a group is compared twice over, and no link between two groups is lost.
+bucket, the remaining links to leaders, and then, within buckets whose members still lie in different
+components, the members outside the bucket's largest component against all. The last round works in
+cells of bounded size that count overlaps by an index and report one link per join, so no pairs of a
+group are ever written, however many copies it has, and no link between two groups is lost.
 
 Shingles are told apart by 52-bit hashes within a text and by 32-bit hashes when two texts are
 compared, which changes a similarity by about n / 2**32. Defined cases: null texts are empty; texts
@@ -38,9 +40,11 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
 SLOTS = BANDS * ROWS
 #: Rows signed at a time.
-PART = 1500
+PART = 500
 #: Ids are broadcast up to this many, and joined by shuffle beyond.
 BROADCAST_IDS = 200_000
+#: A cell of a bucket holds about so many members outside its largest component, and of all; a task takes about so many cells at a time.
+MINORS, OTHERS, CELLS = 256, 512, 64
 
 U64 = np.uint64
 _G = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
@@ -172,12 +176,16 @@ def overlap(a: bytes, b: bytes) -> float:
     return common / (len(x) + len(y) - common)
 
 
-def verify(pairs: DataFrame, signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) of keys with a similarity of at least ``threshold``. Shingles of other classes are not moved."""
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "dedup-ids")
+def _needed(signed: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, s): one shingle list for each of the distinct ``keys``; those of other classes are not moved."""
+    ids = materialise(keys.distinct(), "dedup-ids")
     side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = signed.select("key", "shingles").join(side, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("s"))
-    sets = materialise(sets, "dedup-sets")
+    return materialise(signed.select("key", "shingles").join(side, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("s")), "dedup-sets")
+
+
+def verify(pairs: DataFrame, signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The pairs (a, b) of keys with a similarity of at least ``threshold``."""
+    sets = _needed(signed, pairs.select(F.explode(F.array("a", "b")).alias("key")))
     joined = pairs.select("a", "b").join(sets.withColumnRenamed("key", "a").withColumnRenamed("s", "x"), "a")
     joined = joined.join(sets.withColumnRenamed("key", "b").withColumnRenamed("s", "y"), "b").select("a", "b", "x", "y")
 
@@ -190,35 +198,98 @@ def verify(pairs: DataFrame, signed: DataFrame, threshold: float = THRESHOLD) ->
     return materialise(joined.mapInArrow(run, "a binary, b binary"), "dedup-links")
 
 
+def cell_links(keys: list[bytes], comps: list[bytes], sets: list[bytes], minor: np.ndarray, threshold: float) -> list[tuple[bytes, bytes]]:
+    """Links from the minor rows to the others, one for each two components that they join."""
+    parent: dict[bytes, bytes] = {}
+
+    def root(c: bytes) -> bytes:
+        while parent.get(c, c) != c:
+            c = parent[c]
+        return c
+
+    lists = [np.frombuffer(x, "<u4") for x in sets]
+    others = np.flatnonzero(~minor)
+    if not len(others):
+        return []
+    sizes = np.asarray([len(x) for x in lists])
+    every = np.concatenate([lists[o] for o in others])
+    owner = np.repeat(others, sizes[others])
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    out = []
+    for m in np.flatnonzero(minor):
+        low, high = np.searchsorted(every, lists[m], "left"), np.searchsorted(every, lists[m], "right")
+        n = high - low
+        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        common = np.bincount(owner[at], minlength=len(lists))
+        for j in np.flatnonzero(common >= threshold * (sizes[m] + sizes - common)):
+            a, b = root(comps[m]), root(comps[j])
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((keys[m], keys[j]))
+    return out
+
+
+def cross_links(members: DataFrame, joined: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+    """Links between members of a bucket that lie in different components. Links to a bucket's leader are known."""
+    of = members.where("key <> leader").select("bucket", "key").join(joined.withColumnRenamed("node", "key"), "key", "left")
+    of = materialise(of.select("bucket", "key", F.coalesce("component", "key").alias("c")), "dedup-of")
+    per = of.groupBy("bucket", "c").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("many"))
+    cells = per.where("many > 1").select(
+        "bucket", F.col("top.c").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / MINORS).cast("int").alias("ni"), F.ceil(F.col("n") / OTHERS).cast("int").alias("nj")
+    )
+    cells = materialise(cells, "dedup-cells")
+    total = cells.agg(F.coalesce(F.sum(F.col("ni") * F.col("nj")), F.lit(0))).first()[0]
+    if not total:
+        return signed.sparkSession.createDataFrame([], "a binary, b binary")
+    rows = of.join(cells, "bucket")
+    block = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    minors = rows.where("c <> top").select("bucket", "key", "c", F.lit(True).alias("minor"), block("ni").alias("i"), "nj").withColumn("j", each("nj")).drop("nj")
+    others = rows.select("bucket", "key", "c", F.lit(False).alias("minor"), block("nj").alias("j"), "ni").withColumn("i", each("ni")).drop("ni")
+    placed = minors.unionByName(others)
+    bundles = max(int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // CELLS)
+    placed = materialise(placed.withColumn("bundle", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(bundles)).cast("int")), "dedup-placed")
+    sets = _needed(signed, placed.select("key"))
+
+    def run(group: pa.Table) -> pa.Table:
+        found: list[tuple[bytes, bytes]] = []
+        group = group.sort_by([("bucket", "ascending"), ("i", "ascending"), ("j", "ascending")]).combine_chunks()
+        at = np.stack([group[c].to_numpy() for c in ("bucket", "i", "j")], axis=1)
+        starts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1).tolist(), len(at)]
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            part = group.slice(a, b - a)
+            found += cell_links(part["key"].to_pylist(), part["c"].to_pylist(), part["s"].to_pylist(), np.asarray(part["minor"].to_pylist(), bool), threshold)
+        return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
+
+    return placed.join(sets, "key").groupBy("bundle").applyInArrow(run, "a binary, b binary")
+
+
 def components(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, component) of the keys that have links to other keys."""
     classes = materialise(signed.where("bands is not null").groupBy("key").agg(F.first("bands").alias("bands")), "dedup-classes")
     banded = classes.select("key", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("key").alias("leader"), F.max("key").alias("last")).where("leader <> last")
+    # written first, so that a join with it is one of two plain shuffles, which adaptive execution splits at hot buckets
+    shared = materialise(banded.groupBy("bucket").agg(F.min("key").alias("leader"), F.max("key").alias("last")).where("leader <> last"), "dedup-shared")
     members = materialise(banded.join(shared.select("bucket", "leader"), "bucket"), "dedup-members")
     stars = members.where("key <> leader").groupBy(F.col("key").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("n"))
     stars = materialise(stars, "dedup-stars")
     best = stars.groupBy("a").agg(F.max(F.struct("n", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-    links = verify(best, signed, threshold)
-    for last in (False, True):
-        joined = connected_components(links)
-        if last:
-            of = members.select("bucket", "key").join(joined.withColumnRenamed("node", "key"), "key", "left")
-            of = of.withColumn("c", F.coalesce("component", "key"))
-            mixed = of.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("bucket")
-            of = materialise(of.join(mixed, "bucket").select("bucket", "key", "c"), "dedup-mixed")
-            left, right = of.select("bucket", F.col("key").alias("a"), F.col("c").alias("ca")), of.select("bucket", F.col("key").alias("b"), F.col("c").alias("cb"))
-            rest = left.join(right, "bucket").where("ca < cb").select("a", "b").distinct()
-            rest = rest.join(stars.select("a", "b"), ["a", "b"], "left_anti").join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-        else:
-            name = lambda side: joined.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-            rest = stars.select("a", "b").join(best, ["a", "b"], "left_anti").join(name("a"), "a", "left").join(name("b"), "b", "left")
-            rest = rest.where(~F.coalesce("ca", "a").eqNullSafe(F.coalesce("cb", "b"))).select("a", "b")
-        rest = materialise(rest, "dedup-rest")
-        if rest.isEmpty():
-            continue
-        links = materialise(links.unionByName(verify(rest, signed, threshold)), "dedup-links")
-    return connected_components(links)
+
+    def grown(joined: DataFrame | None, more: DataFrame) -> DataFrame:
+        """Components with more links; what is joined already goes on as one link per member."""
+        if joined is not None:
+            more = more.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        return materialise(connected_components(more), "dedup-joined")
+
+    joined = grown(None, verify(best, signed, threshold))
+    name = lambda side: joined.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+    rest = stars.select("a", "b").join(best, ["a", "b"], "left_anti").join(name("a"), "a", "left").join(name("b"), "b", "left")
+    rest = materialise(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "dedup-rest")
+    if not rest.isEmpty():
+        joined = grown(joined, verify(rest, signed, threshold))
+    last = materialise(cross_links(members, joined, signed, threshold), "dedup-last")
+    return joined if last.isEmpty() else grown(joined, last)
 
 
 def classified(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -316,3 +316,59 @@ def test_quality_trees(docs, rows):
     got = QC.with_score(docs, forest, "text", ["doc_id", "score"]).collect()
     assert len(got) == len(rows) and all(0 <= r["__score"] <= 1 for r in got)
     assert len(QC.statistics(None)) == len(QC.FEATURES)
+
+
+def test_cell_links_join_what_brute_force_joins():
+    rng = np.random.default_rng(11)
+    base = rng.choice(10**6, 60, replace=False)
+    sets = []
+    for i in range(80):
+        own = base.copy()
+        own[rng.choice(60, rng.integers(0, 12), replace=False)] = rng.integers(10**6, 2 * 10**6)
+        sets.append(np.unique(own).astype("<u4"))
+    keys = [bytes([i]) * 16 for i in range(80)]
+    comps = [keys[0] if i % 3 else keys[i] for i in range(80)]
+    minor = np.asarray([c != keys[0] for c in comps])
+    rows = np.flatnonzero(minor).tolist() + list(range(80))
+    flags = np.asarray([True] * int(minor.sum()) + [False] * 80)
+    got = ND.cell_links([keys[r] for r in rows], [comps[r] for r in rows], [sets[r].tobytes() for r in rows], flags, 0.8)
+
+    def joined(links):
+        up = {k: k for k in keys}
+
+        def find(k):
+            while up[k] != k:
+                k = up[k]
+            return k
+
+        for a, b in [*zip(keys, comps, strict=True), *links]:
+            up[find(a)] = find(b)
+        return {frozenset(j for j in keys if find(j) == find(k)) for k in keys}
+
+    real = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+    want = [(keys[i], keys[j]) for i in range(80) for j in range(80) if minor[i] and i != j and real(sets[i], sets[j])]
+    assert want and joined(got) == joined(want) and len(got) < 80
+
+
+def test_hot_buckets(spark, monkeypatch):
+    """Groups of near copies that the leaders of their buckets do not join, in cells of a few rows."""
+    monkeypatch.setattr(ND, "MINORS", 3)
+    monkeypatch.setattr(ND, "OTHERS", 5)
+    rng = np.random.default_rng(12)
+    base = [f"v{i}" for i in range(120)]
+    texts = []
+    for i in range(60):
+        own = list(base)
+        for p in rng.choice(120, rng.integers(0, 4), replace=False):
+            own[p] = f"x{i}y{p}"
+        texts.append(" ".join(own))
+    got = ND.classified(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    grams = [Counter(zip(*[t.split()[k:] for k in range(5)])) for t in texts]
+    label = list(range(60))
+    for _ in range(60):
+        for i in range(60):
+            for j in range(60):
+                if sum((grams[i] & grams[j]).values()) >= 0.8 * sum((grams[i] | grams[j]).values()):
+                    label[i] = label[j] = min(label[i], label[j])
+    first = {r["class"]: r["first"]["id"] for r in got}
+    assert {r.id: first[r["class"]] for r in got} == dict(enumerate(label))
