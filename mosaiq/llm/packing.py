@@ -19,9 +19,11 @@ the capacity, the first of them shorter if need be.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,9 @@ from mosaiq.plans.scratch import materialise
 
 CAPACITY, END_ID = 2048, 0
 #: A worker remembers the ids of at most this many chunks of at most this many characters.
-KEPT_CHUNKS, KEPT_LENGTH = 600_000, 48
+KEPT_CHUNKS, KEPT_LENGTH = 1_500_000, 48
+#: Texts in which a blank meets other white space, the end, or a NUL; chunks of visible characters and single line ends.
+ODD, PLAIN = re.compile(r" (?=\s|\Z)|\0"), re.compile(r" ?\S+(?:\n\S+)*")
 _tokenizers: dict[str, tuple] = {}
 
 
@@ -60,16 +64,27 @@ class Encoder:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def chunks(self, text: str) -> list[str]:
+        if not ODD.search(text):
+            return text.replace(" ", "\0 ").split("\0")
         parts = text.split(" ")
-        if "  " in text or " \n" in text or any(p[:1].isspace() or not p for p in parts[1:]):
-            out = parts[:1]
-            for p in parts[1:]:
-                if p and not p[0].isspace():
-                    out.append(" " + p)
-                else:
-                    out[-1] += " " + p
-            return out
-        return parts[:1] + [" " + p for p in parts[1:]]
+        out = parts[:1]
+        for p in parts[1:]:
+            if p and not p[0].isspace():
+                out.append(" " + p)
+            else:
+                out[-1] += " " + p
+        return out
+
+    def learn(self, missing: list[str]) -> dict[str, bytes]:
+        """Ids of chunks. Words are encoded without the line ends and the last stop or comma that the rule parts them from."""
+        parts = {c: units(c) for c in missing}
+        new = list({u for some in parts.values() for u in some if u not in self.kept})
+        found: dict[str, bytes] = {}
+        for a in range(0, len(new), 20_000):
+            found.update(zip(new[a : a + 20_000], self.raw(new[a : a + 20_000]), strict=True))
+        self.kept.update((u, ids) for u, ids in found.items() if len(u) <= KEPT_LENGTH)
+        kept = self.kept
+        return {c: b"".join([found[u] if u in found else kept[u] for u in some]) for c, some in parts.items()}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.kept) > KEPT_CHUNKS:
@@ -81,23 +96,36 @@ class Encoder:
                 whole[i] = self.raw([text])[0]
                 text = ""
             cut.append(self.chunks(text) if text else [])
-        missing = list({c for chunks in cut for c in chunks if c not in kept})
-        extra: dict[str, bytes] = {}
-        for a in range(0, len(missing), 20_000):
-            some = missing[a : a + 20_000]
-            for c, ids in zip(some, self.raw(some), strict=True):
-                (kept if len(c) <= KEPT_LENGTH else extra)[c] = ids
+        learned = self.learn(list(set(chain.from_iterable(cut)).difference(kept)))
+        long = {c: ids for c, ids in learned.items() if len(c) > KEPT_LENGTH}
+        kept.update((c, ids) for c, ids in learned.items() if len(c) <= KEPT_LENGTH)
         out = []
         for i, chunks in enumerate(cut):
             if i in whole:
                 out.append(whole[i])
-            elif extra:
-                out.append(b"".join([kept[c] if c in kept else extra[c] for c in chunks]))
+            elif long and not long.keys().isdisjoint(chunks):
+                out.append(b"".join([long[c] if c in long else kept[c] for c in chunks]))
             else:
-                out.append(b"".join([kept[c] for c in chunks]))
+                out.append(b"".join(map(kept.__getitem__, chunks)))
         return out
 
 
+def units(chunk: str) -> list[str]:
+    """A chunk cut where the splitting rule cuts in any case: around a single line end between visible
+    characters, and before a last stop, comma or the like that follows a letter."""
+    if not PLAIN.fullmatch(chunk):
+        return [chunk]
+    out = []
+    for i, part in enumerate(chunk.split("\n")):
+        if i:
+            out.append("\n")
+        if len(part) > 2 and part[-1] in ".,;:!?" and part[-2].isalpha():
+            out += [part[:-1], part[-1]]
+        else:
+            out.append(part)
+    return out
+
+
 def encoder(path: str) -> Encoder:
     if path not in _tokenizers:
         _tokenizers[path] = Encoder(path)
