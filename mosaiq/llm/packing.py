@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from itertools import chain
@@ -38,6 +39,7 @@ CAPACITY, END_ID = 2048, 0
 #: A worker remembers the ids of at most this many chunks of at most this many characters.
 KEPT_CHUNKS, KEPT_LENGTH = 1_500_000, 48
 #: Texts in which a blank meets other white space, the end, or a NUL; chunks of visible characters and single line ends.
+STOPS = ".,;:!?"
 ODD, PLAIN = re.compile(r" (?=\s|\Z)|\0"), re.compile(r" ?\S+(?:\n\S+)*")
 _tokenizers: dict[str, tuple] = {}
 
@@ -61,7 +63,7 @@ class Encoder:
         self.kept: dict[str, bytes] = {}
 
     def raw(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def chunks(self, text: str) -> list[str]:
         if not ODD.search(text):
@@ -113,13 +115,15 @@ class Encoder:
 def units(chunk: str) -> list[str]:
     """A chunk cut where the splitting rule cuts in any case: around a single line end between visible
     characters, and before a last stop, comma or the like that follows a letter."""
+    if "\n" not in chunk:
+        return [chunk[:-1], chunk[-1]] if len(chunk) > 2 and chunk[-1] in STOPS and chunk[-2].isalpha() else [chunk]
     if not PLAIN.fullmatch(chunk):
         return [chunk]
     out = []
     for i, part in enumerate(chunk.split("\n")):
         if i:
             out.append("\n")
-        if len(part) > 2 and part[-1] in ".,;:!?" and part[-2].isalpha():
+        if len(part) > 2 and part[-1] in STOPS and part[-2].isalpha():
             out += [part[:-1], part[-1]]
         else:
             out.append(part)
@@ -256,7 +260,8 @@ def pack(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     placed = np.asarray(sorted(plan(totals, capacity)), np.int64).reshape(-1, 6)
     big = int(placed[:, 2].max()) + 1 if len(placed) else 1
     keys = placed[:, 0] * big + placed[:, 1]
-    ranked = cut_up.join(offsets.select("task", "length", "before"), ["task", "length"])
+    # one row per task and length: not broadcast, as it grows with the number of tasks
+    ranked = cut_up.join(offsets.select("task", "length", "before").hint("merge"), ["task", "length"])
     ranked = ranked.withColumn("rank", F.col("before") + F.col("local_rank")).drop("before", "task", "local_rank")
     names = [c for c in ranked.columns if c != "rank"]
     types = dict(ranked.dtypes)
