@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mosaiq.plans.scratch import materialise
 from mosaiq.plans.ship import ship
 
 #: Upper-case letters that the contracts lower; other letters stay.
@@ -26,16 +27,16 @@ def labelled_sample(
     labels: DataFrame,
     label: str,
     per_class: dict[int, int],
-    max_chars: int,
+    total_chars: int,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> list[tuple[str, int]]:
     """(text, label) of at most ``sum(per_class.values())`` labelled rows outside the held-out fold.
 
     The ids are picked on the small label table by hash order, so that the documents are only
-    filtered by a broadcast of at most that many ids; texts above ``max_chars`` are not
-    learned from, which bounds the driver's memory. Null labels and ids are ignored; of several
-    labels of one id the largest counts.
+    filtered by a broadcast of at most that many ids. Texts of every length are learned from: in hash
+    order, up to and with the text that reaches ``total_chars``, which bounds the driver's memory.
+    Null labels and ids are ignored; of several labels of one id the largest counts.
     """
     known = (
         labels.select(F.col(id_col).alias("k"), F.col(label).cast("int").alias("y"))
@@ -47,12 +48,19 @@ def labelled_sample(
     for value, most in per_class.items():
         some = known.where(F.col("y") == value).orderBy(F.xxhash64("k"), "k").limit(most)
         picked = some if picked is None else picked.unionByName(some)
-    rows = (
+    found = (
         documents.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
-        .where(F.col("t").isNotNull() & (F.length("t") <= max_chars))
+        .where(F.col("t").isNotNull())
         .join(F.broadcast(picked), "k")
         .groupBy("k")
         .agg(F.min("t").alias("t"), F.max("y").alias("y"))
-        .collect()
     )
+    found = materialise(found.withColumn("h", F.xxhash64("k")), "sample")
+    before, last = 0, None
+    for r in found.select("k", "h", F.length("t").alias("n")).sort("h", "k").collect():
+        if before >= total_chars:
+            break
+        before, last = before + r["n"], r
+    within = (F.col("h") < last["h"]) | (F.col("h") == last["h"]) & (F.col("k") <= last["k"]) if last else F.lit(False)
+    rows = found.where(within).select("k", "t", "y").collect()
     return [(r["t"], r["y"]) for r in sorted(rows, key=lambda r: str(r["k"]))]

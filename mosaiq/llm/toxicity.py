@@ -3,9 +3,11 @@
 A document is a bag of sentences, and only the document has a label. A sentence's score is a
 logistic function of the weights of its distinct words; a word's weight is the sum of the weights
 of its hashed character grams, so unseen forms of a known stem count too. Only grams that occur in
-more toxic documents than chance explains are given a weight. The document's score is
+more toxic documents than chance explains are given a weight. A sentence counts by what its words add to the
+score of a sentence without weighted words, so that a clean text does not turn toxic by its length. The document's score is
 the noisy-or 1 - prod(1 - sentence score), and the gradient of the document's loss reaches each
-sentence through it. Sentences with high scores are the located ones.
+sentence through it. In training a chance by document, whatever its length, stands for labels that no word explains.
+Sentences with high scores are the located ones.
 
 Training is on the driver over a bounded sample (see ``labelled_sample``); the model is one array
 of fixed size. Scoring is one pass without a shuffle over whole texts.
@@ -30,8 +32,8 @@ from mosaiq.llm.common import fold, labelled_sample, table
 from mosaiq.plans.ship import ship
 
 BITS = 22
-#: The training sample: rows of each label, and the longest text learned from.
-SAMPLE, MAX_CHARS = {1: 2500, 0: 3500}, 20_000
+#: The training sample: rows of each label, and the characters of all its texts.
+SAMPLE, TOTAL_CHARS = {1: 2500, 0: 3500}, 20_000_000
 #: A gram's words must occur so often (once per document), and speak for toxicity by a likelihood ratio of this size; at most MOST are kept.
 LEAST_DOCS, LEAST_RATIO, MOST = 4, 20.0, 4000
 ROUNDS, RATE, DECAY, START = 200, 0.1, 0.3, -5.0
@@ -77,7 +79,7 @@ def telling(sample: list[tuple[str, int]]) -> dict[int, int]:
 
 
 def fit(sample: list[tuple[str, int]]) -> Model:
-    """Full-batch Adam on the noisy-or likelihood with a quadratic penalty."""
+    """Full-batch Adam on the noisy-or likelihood with a quadratic penalty; the last two states are the bias and the log of what no word explains."""
     number = telling(sample) if len({y for _, y in sample}) == 2 else {}
     if not number:
         return Model(-1e9, {})
@@ -92,18 +94,22 @@ def fit(sample: list[tuple[str, int]]) -> Model:
                 sentence_of += [len(doc_of)] * len(of_word[w])
             doc_of.append(d)
     slot_of, sentence_of, doc_of = (np.asarray(a, np.int64) for a in (slot_of, sentence_of, doc_of))
-    state, moments = np.zeros(len(number) + 1), np.zeros((2, len(number) + 1))
-    state[-1] = START
+    state, moments = np.zeros(len(number) + 2), np.zeros((2, len(number) + 2))
+    state[-2:] = START
     for step in range(1, ROUNDS + 1):
-        z = state[-1] + np.bincount(sentence_of, state[slot_of], len(doc_of))
-        none = np.maximum(np.bincount(doc_of, np.logaddexp(0, z), len(y)), 1e-9)  # -log of the share of clean sentences
+        z = state[-2] + np.bincount(sentence_of, state[slot_of], len(doc_of))
+        above = z >= state[-2]
+        none = np.bincount(doc_of, above * (np.logaddexp(0, z) - np.logaddexp(0, state[-2])), len(y))  # -log of the share of clean sentences
+        none = np.maximum(none + np.exp(state[-1]), 1e-9)
         of_doc = (1 - y) - y / np.expm1(np.minimum(none, 500))
-        g_z = of_doc[doc_of] / (1 + np.exp(-z)) / len(y)
-        g = np.append(np.bincount(slot_of, g_z[sentence_of], len(number)) + DECAY / len(y) * state[:-1], g_z.sum())
+        g_z = above * of_doc[doc_of] / (1 + np.exp(-z)) / len(y)
+        g_bias = g_z.sum() - (above * of_doc[doc_of]).sum() / (1 + np.exp(-state[-2])) / len(y)
+        g_words = np.bincount(slot_of, g_z[sentence_of], len(number)) + DECAY / len(y) * state[:-2]
+        g = np.append(g_words, [g_bias, np.exp(state[-1]) * of_doc.sum() / len(y)])
         moments[0] += 0.1 * (g - moments[0])
         moments[1] += 0.01 * (g * g - moments[1])
         state -= RATE * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.99**step)) + 1e-8)
-    return Model(float(state[-1]), {s: float(state[i]) for s, i in number.items()})
+    return Model(float(state[-2]), {s: float(state[i]) for s, i in number.items()})
 
 
 class Scorer:
@@ -128,8 +134,8 @@ class Scorer:
         z = np.asarray([self.sentence(s) for s in sentences(text or "")])
         if not len(z):
             return 0.0, [], []
-        score = float(-np.expm1(-np.logaddexp(0, z).sum()))
-        p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        none = np.maximum(np.logaddexp(0, z) - np.logaddexp(0, self.model.bias), 0)
+        score, p = float(-np.expm1(-none.sum())), -np.expm1(-none)
         found = np.flatnonzero(p >= least)
         return score, found.tolist(), p[found].tolist()
 
@@ -156,7 +162,7 @@ def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    model = fit(labelled_sample(documents, table(spark, sf_dir, "labels"), "toxic", SAMPLE, MAX_CHARS))
+    model = fit(labelled_sample(documents, table(spark, sf_dir, "labels"), "toxic", SAMPLE, TOTAL_CHARS))
     return score(documents, model).select(
         "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "sentences"
     )

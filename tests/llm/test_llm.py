@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mosaiq.llm import (
-    embedding_dedup as ED, html_extract as HE, language_model as LM, licenses as LI, mixing as MX, near_dedup as ND, packing as PK, quality_classifier as QC,
+    common, embedding_dedup as ED, html_extract as HE, language_model as LM, licenses as LI, mixing as MX, near_dedup as ND, packing as PK, quality_classifier as QC,
     quality_rules as QR, toxicity as TX,
 )
 
@@ -299,6 +299,26 @@ def test_toxicity():
     assert TX.Scorer(TX.fit([])).document("w1")[0] == 0.0
 
 
+def test_toxicity_of_long_clean_texts():
+    rng = np.random.default_rng(3)
+    sample = [(". ".join([text(rng, 12) for _ in range(6)] + [f"grumm{'abcdefgh'[i % 8]}{i % 7}"] * (i % 3 == 0)), int(i % 3 == 0 or i % 50 == 1)) for i in range(600)]
+    scorer = TX.Scorer(TX.fit(sample))
+    long = ". ".join(text(rng, 12) for _ in range(20000))
+    assert scorer.document(long)[0] < 0.5 < scorer.document(long + ". a grummzz")[0]
+
+
+def test_sample_has_texts_of_every_length(spark):
+    texts = [(i, "w1 w2. " * (20000 if i % 5 == 0 else 5)) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    taught = [t for i, t in texts if zlib.crc32(str(i).encode()) % 5]
+    got = common.labelled_sample(docs, labels, "toxic", TX.SAMPLE, 10**8)
+    assert Counter(t for t, _ in got) == Counter(taught) and max(len(t) for t, _ in got) == 140000
+    some = common.labelled_sample(docs, labels, "toxic", TX.SAMPLE, 400000)
+    assert 400000 <= sum(len(t) for t, _ in some) < 400000 + 140000 and not Counter(t for t, _ in some) - Counter(taught)
+    assert common.labelled_sample(docs.limit(0), labels, "toxic", TX.SAMPLE, 10**8) == []
+
+
 def test_toxicity_rows(docs, rows):
     got = TX.score(docs, TX.fit([])).collect()
     assert len(got) == len(rows) and all(r.score == 0 for r in got)
