@@ -26,14 +26,15 @@ def labelled_sample(
     documents: DataFrame,
     labels: DataFrame,
     label: str,
-    per_class: dict[int, int],
+    most: int,
     total_chars: int,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> list[tuple[str, int]]:
-    """(text, label) of at most ``sum(per_class.values())`` labelled rows outside the held-out fold.
+    """(text, label) of at most ``most`` labelled rows outside the held-out fold.
 
-    The ids are picked on the small label table by hash order, so that the documents are only
+    The ids are picked on the small label table by hash order, all labels at one rate, so that their
+    shares do not depend on the size of the table, and that the documents are only
     filtered by a broadcast of at most that many ids. Texts of every length are learned from: in hash
     order, up to and with the text that reaches ``total_chars``, which bounds the driver's memory.
     Null labels and ids are ignored; of several labels of one id the largest counts.
@@ -44,10 +45,7 @@ def labelled_sample(
         .groupBy("k")
         .agg(F.max("y").alias("y"))
     )
-    picked = None
-    for value, most in per_class.items():
-        some = known.where(F.col("y") == value).orderBy(F.xxhash64("k"), "k").limit(most)
-        picked = some if picked is None else picked.unionByName(some)
+    picked = known.where(F.col("y").isin(0, 1)).orderBy(F.xxhash64("k"), "k").limit(most)
     found = (
         documents.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
         .where(F.col("t").isNotNull())

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from mosaiq.llm.common import fold, labelled_sample, table
 from mosaiq.plans.ship import ship
 
-#: The training sample: rows of each label (close to the labels' own shares), and the characters of all its texts.
-SAMPLE, TOTAL_CHARS = {1: 4500, 0: 1500}, 20_000_000
+#: The training sample: rows, and the characters of all its texts.
+SAMPLE, TOTAL_CHARS = 6000, 20_000_000
 TREES, DEPTH, RATE, BINS, LEAST_ROWS, PENALTY = 80, 4, 0.15, 64, 10, 1.0
 SYMBOLS = "#*$%&|<>"
 FEATURES = (

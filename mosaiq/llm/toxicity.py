@@ -32,8 +32,8 @@ from mosaiq.llm.common import fold, labelled_sample, table
 from mosaiq.plans.ship import ship
 
 BITS = 22
-#: The training sample: rows of each label, and the characters of all its texts.
-SAMPLE, TOTAL_CHARS = {1: 2500, 0: 3500}, 20_000_000
+#: The training sample: rows, and the characters of all its texts.
+SAMPLE, TOTAL_CHARS = 6000, 20_000_000
 #: A gram's words must occur so often (once per document), and speak for toxicity by a likelihood ratio of this size; at most MOST are kept.
 LEAST_DOCS, LEAST_RATIO, MOST = 4, 20.0, 4000
 ROUNDS, RATE, DECAY, START = 200, 0.1, 0.3, -5.0

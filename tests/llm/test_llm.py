@@ -319,6 +319,17 @@ def test_sample_has_texts_of_every_length(spark):
     assert common.labelled_sample(docs.limit(0), labels, "toxic", TX.SAMPLE, 10**8) == []
 
 
+@pytest.mark.parametrize("most", [TX.SAMPLE, QC.SAMPLE])
+def test_sample_keeps_the_shares_of_labels(spark, most):
+    shares = []
+    for n in (3000, 30000):
+        docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+        labels = docs.select("doc_id", (F.col("doc_id") % 9 == 0).cast("int").alias("toxic"))
+        got = [y for _, y in common.labelled_sample(docs, labels, "toxic", most, 10**8)]
+        shares.append(sum(got) / len(got))
+    assert len(got) == 6000 and shares == pytest.approx([1 / 9, 1 / 9], abs=0.015)
+
+
 def test_toxicity_rows(docs, rows):
     got = TX.score(docs, TX.fit([])).collect()
     assert len(got) == len(rows) and all(r.score == 0 for r in got)
