@@ -288,6 +288,13 @@ def region_pixels(spark, sf):
     return P.select_regions(V.pixels(spark, sf), regions, ["y", "x"], {}, {"y": 256, "x": 256}).select("label", "c", "y", "x", "value")
 
 
+@query()
+def region_pixels_all(spark, sf):
+    """Pixels of every region; region_pixels is the part that its SQL covers."""
+    regions = V.event_regions(spark, sf).select("label", "x", "y")
+    return P.select_regions(V.pixels(spark, sf), regions, ["y", "x"], {}, {"y": 256, "x": 256}).select("label", "c", "y", "x", "value")
+
+
 @query(f"WITH {V.PIXELS}, {V.LABELS} SELECT c, y, x, CASE WHEN label = 37 THEN value ELSE -1 END AS value FROM pixels JOIN label_grid USING (y, x)")
 def mask_fill(spark, sf):
     return P.mask_fill(V.pixels(spark, sf), V.label_grid(spark), ["y", "x"], 37, -1)

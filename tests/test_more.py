@@ -107,6 +107,30 @@ def test_container(spark, tmp_path):
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(scope="module")
+def whole(spark, tmp_path_factory):
+    """A folder of small tables with ids on both sides of the bounds of the queries with SQL."""
+    rng = np.random.default_rng(6)
+    path = str(tmp_path_factory.mktemp("whole"))
+    events = [(int(i), ["view", "buy"][i % 5 == 0], int(rng.integers(0, 60))) for i in [*range(280, 340), *range(1980, 2040)]]
+    spark.createDataFrame(events, "event_id long, event_type string, user_id long").write.parquet(f"{path}/events.parquet")
+    lines = [tuple(map(int, r)) for r in rng.integers([1, 0, 0, 1], [8, 256, 256, 51], (8000, 4))]
+    spark.createDataFrame(lines, "l_linenumber long, l_orderkey long, l_partkey long, l_quantity long").write.parquet(f"{path}/lineitem.parquet")
+    spark.range(1, 200).select(F.col("id").alias("c_custkey")).write.parquet(f"{path}/customer.parquet")
+    return path, events, lines
+
+
+def test_pixels_of_every_region(spark, whole):
+    path, events, lines = whole
+    pixels = {}
+    for n, o, p, q in lines:
+        at = (n % 3, o % 256, p % 256)
+        pixels[at] = max(q, pixels.get(at, 0))
+    want = {(i, c, y, x, v) for i, _, u in events for (c, y, x), v in pixels.items() if u <= x < u + 1 + i % 17 and i % 200 <= y < i % 200 + 1 + i % 13}
+    got = [tuple(r) for r in __spark_entry__.queries()["region_pixels_all"](spark, path).collect()]
+    assert set(got) == want and len(got) == len(want) and max(r[0] for r in got) >= 300
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 def test_queries_equal_their_sql(spark):
     import duckdb
