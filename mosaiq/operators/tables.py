@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mosaiq.functions.regions import span
+from mosaiq.plans.scratch import materialise
 
 
 class TableError(ValueError):
@@ -121,9 +122,19 @@ def from_regions(regions: DataFrame) -> DataFrame:
 
 
 def unique_names(regions: DataFrame, name: str = "name", order: str = "row") -> DataFrame:
-    """Repeated names get the suffix ``_2``, ``_3``, ... in order, so the result is the same in every run."""
-    place = F.row_number().over(Window.partitionBy(name).orderBy(order))
-    return regions.withColumn("__n", place).withColumn(name, F.when(F.col("__n") > 1, F.concat(name, F.lit("_"), F.col("__n"))).otherwise(F.col(name))).drop("__n")
+    """Repeated names get the suffix ``_2``, ``_3``, ... in order, so the result is the same in every run.
+
+    Rows are dealt into ranges of the order and numbered by name within each; a range's numbers go on
+    from the rows of the name in earlier ranges. So a frequent name is sorted in as many tasks as there are ranges.
+    """
+    dealt = materialise(regions.repartitionByRange(F.col(order)).withColumn("__p", F.spark_partition_id()), "names")
+    counts = dealt.groupBy(F.col(name).alias("__name"), F.col("__p").alias("__q")).agg(F.count("*").alias("__many"))
+    earlier = Window.partitionBy("__name").orderBy("__q").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("__name", "__q", F.coalesce(F.sum("__many").over(earlier), F.lit(0)).alias("__before"))
+    ranked = dealt.withColumn("__n", F.row_number().over(Window.partitionBy(name, "__p").orderBy(order)))
+    place = F.col("__n") + F.col("__before")
+    named = ranked.join(counts, F.col(name).eqNullSafe(F.col("__name")) & (F.col("__p") == F.col("__q")))
+    return named.withColumn(name, F.when(place > 1, F.concat(name, F.lit("_"), place)).otherwise(F.col(name))).select(*regions.columns)
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: str, overwrite: bool = False) -> DataFrame:

@@ -465,6 +465,12 @@ def unique_roi_names(spark, sf):
     return T.unique_names(e, "name", "event_id")
 
 
+@query()
+def unique_roi_names_all(spark, sf):
+    """Unique names of all events; unique_roi_names is the part that its SQL covers."""
+    return T.unique_names(V.table(spark, sf, "events").select("event_id", F.col("event_type").alias("name")), "name", "event_id")
+
+
 @query("""SELECT c_custkey AS label, CASE WHEN c_custkey % 4 = 0 THEN 0 ELSE c_acctbal END AS balance FROM customer UNION ALL SELECT -c_custkey, 0 FROM customer WHERE c_custkey % 100 = 4""")
 def table_upsert(spark, sf):
     old = V.table(spark, sf, "customer").select(F.col("c_custkey").alias("label"), F.col("c_acctbal").alias("balance"))

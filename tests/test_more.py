@@ -131,6 +131,20 @@ def test_pixels_of_every_region(spark, whole):
     assert set(got) == want and len(got) == len(want) and max(r[0] for r in got) >= 300
 
 
+def test_unique_names_of_all_events(spark, whole):
+    path, events, _ = whole
+    seen, want = {}, {}
+    for i, kind, _ in sorted(events):
+        seen[kind] = seen.get(kind, 0) + 1
+        want[i] = kind if seen[kind] == 1 else f"{kind}_{seen[kind]}"
+    got = [tuple(r) for r in __spark_entry__.queries()["unique_roi_names_all"](spark, path).collect()]
+    assert dict(got) == want and len(got) == len(want)
+    odd = spark.range(40).select(F.col("id").alias("row"), F.when(F.col("id") % 3 > 0, "a").alias("name")).repartition(3)
+    named = T.unique_names(odd, "name", "row")
+    assert named.columns == ["row", "name"] and [r.name for r in named.orderBy("row").collect()][:5] == [None, "a", "a_2", None, "a_3"]
+    assert T.unique_names(odd.limit(0), "name", "row").count() == 0
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 def test_queries_equal_their_sql(spark):
     import duckdb
