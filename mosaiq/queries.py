@@ -189,6 +189,19 @@ def touching_pairs(spark, sf):
     return S.touching_only(boxes, "id", ["x", "y"], CELL, "x")
 
 
+@query()
+def overlap_pairs_all(spark, sf):
+    """All pairs; overlap_pairs is the part that its SQL covers."""
+    pairs = S.overlap_pairs(V.event_boxes(spark, sf), "id", ["x", "y"], CELL)
+    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), *S.common_box(["x", "y"]))
+
+
+@query()
+def touching_pairs_all(spark, sf):
+    """All pairs; touching_pairs is the part that its SQL covers."""
+    return S.touching_only(V.event_boxes(spark, sf), "id", ["x", "y"], CELL, "x")
+
+
 @query(f"""WITH {V.BOXES} SELECT id, CAST(floor(x_start / 32) AS INTEGER) AS x_first, CAST(floor((x_stop - 1) / 32) AS INTEGER) AS x_last,
  CAST(floor(y_start / 32) AS INTEGER) AS y_first, CAST(floor((y_stop - 1) / 32) AS INTEGER) AS y_last FROM boxes""")
 def chunk_footprint(spark, sf):
@@ -500,6 +513,13 @@ def components_min_label(spark, sf):
     return connected_components(c.select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + 1 + F.col("c_custkey") % 7).alias("b")))
 
 
+@query()
+def components_min_label_all(spark, sf):
+    """Components over the links of all customers; components_min_label is the part that its SQL covers."""
+    c = V.table(spark, sf, "customer")
+    return connected_components(c.select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + 1 + F.col("c_custkey") % 7).alias("b")))
+
+
 @query()
 def nms_boxes(spark, sf):
     """Kept boxes of events, the value as the score and the type as the group."""
@@ -547,8 +567,8 @@ def detect_bright(spark, sf):
 @query()
 def stitch_tiles(spark, sf):
     """Grid objects predicted tile by tile with a margin of 8, made one label image again."""
-    tiles = TI.by_grid(spark.createDataFrame([(128, 128)], "size_y int, size_x int"), {"y": 40, "x": 40})
-    labels = V.label_grid(spark).where("y < 128 and x < 128")
+    tiles = TI.by_grid(spark.createDataFrame([(V.EDGE, V.EDGE)], "size_y int, size_x int"), {"y": 40, "x": 40})
+    labels = V.label_grid(spark)
     near = lambda a, m: (F.col(a) >= F.col(f"tile_{a}.start") - m) & (F.col(a) < F.col(f"tile_{a}.start") + F.col(f"tile_{a}.length") + m)
     predicted = labels.join(F.broadcast(tiles), near("y", 8) & near("x", 8))
     predicted = predicted.select(F.col("tile_index").alias("tile"), "y", "x", "label", (near("y", 0) & near("x", 0)).alias("core"))

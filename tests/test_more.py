@@ -145,6 +145,32 @@ def test_unique_names_of_all_events(spark, whole):
     assert T.unique_names(odd.limit(0), "name", "row").count() == 0
 
 
+def test_all_pairs_links_and_pixels(spark, whole):
+    path, events, _ = whole
+    run = lambda name: [tuple(r) for r in __spark_entry__.queries()[name](spark, path).collect()]
+    boxes = [(i, u, u + 1 + i % 17, i % 200, i % 200 + 1 + i % 13) for i, _, u in events]
+    over = lambda a, b, more=0: a[1] < b[2] + more and b[1] < a[2] + more and a[3] < b[4] and b[3] < a[4]
+    both = [(a, b) for a in boxes for b in boxes if a[0] < b[0]]
+    want = sorted((a[0], b[0], max(a[1], b[1]), min(a[2], b[2]), max(a[3], b[3]), min(a[4], b[4])) for a, b in both if over(a, b))
+    assert sorted(run("overlap_pairs_all")) == want and any(r[0] % 10 != r[1] % 10 for r in want)
+    want = sorted((a[0], b[0]) for a, b in both if over(a, b, 1) and not over(a, b))
+    assert sorted(run("touching_pairs_all")) == want and any(a % 10 != b % 10 for a, b in want)
+    label = {k: k for c in range(1, 200) for k in (c, c + 1 + c % 7)}
+    for _ in range(200):
+        for c in range(1, 200):
+            label[c] = label[c + 1 + c % 7] = min(label[c], label[c + 1 + c % 7])
+    got = run("components_min_label_all")
+    assert dict(got) == label and len(got) == len(label)
+    pixels = {(y, x): v for y, x, v in run("stitch_tiles")}
+    objects = {}
+    for (y, x), v in pixels.items():
+        if (x + y) % 5 == 0:
+            assert v == 0
+        else:
+            objects.setdefault((y // 16, x // 16), set()).add(v)
+    assert len(pixels) == 256 * 256 and all(len(v) == 1 for v in objects.values()) and set.union(*objects.values()) == set(range(1, 257))
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 def test_queries_equal_their_sql(spark):
     import duckdb
