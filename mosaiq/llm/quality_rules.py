@@ -76,7 +76,7 @@ def with_stats(documents: DataFrame, text_col: str = "text") -> DataFrame:
     step = step.withColumn("__w", F.array_remove("__p", ""))
     n = F.size("__w")
     lines = F.split("__t", "\n")
-    blank_lines = F.col("__t").rlike(r"(?m)^[\x20\x09\x0B-\x0D]+$")
+    blank_lines = F.col("__t").rlike(r"(^|\n)[\x20\x09\x0B-\x0D]+(\n|\z)")
     step = step.withColumn("__l", F.when(blank_lines, F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).otherwise(F.array_remove(lines, "")))
     hashes = F.transform("__w", lambda x, i: F.xxhash64(x, F.get("__w", i + 1), F.get("__w", i + 2)))
     step = step.withColumn("__h", F.when(n >= 3, F.slice(hashes, F.lit(1), n - 2)))

@@ -55,6 +55,14 @@ def test_rules_statistics(spark, docs, rows):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want(r.text)
 
 
+@pytest.mark.parametrize("blank", ["\r", " \r", "\x0b", "\t"])
+def test_rules_blank_lines(spark, blank):
+    texts = [f"a b\r\n{blank}\nc d\r\n{blank}\ne f\r\n{blank}\ng", f"{blank}\na\na\n{blank}", f"a\n\n{blank}", f"a{blank}\nb", f"{blank}", "\n"]
+    for r in QR.with_stats(spark.createDataFrame([(t,) for t in texts], "text string")).select("text", "st.*").collect():
+        lines = [x for x in r.text.split("\n") if words(x)]
+        assert (r.n_lines, r.n_dup_lines) == (len(lines), len(lines) - len(set(lines)))
+
+
 def test_rules_model():
     clean, junk = (1,) * len(QR.RULES), tuple(-1 if r.name in ("symbols", "marked_words") else 1 for r in QR.RULES)
     model = QR.fit([(clean, 900), (junk, 100)])
