@@ -292,6 +292,15 @@ def test_pages(spark):
     assert sorted(same.values()) == [[0, 3, 7], [1, 4], [5]]
 
 
+def test_pages_lose_only_what_repeats(spark):
+    own = lambda i, n=6: " ".join(f"w{i}x{j}" for j in range(n))
+    menu = "one menu of ten words that all the pages share"
+    rows = [(i, f"http://h.org/{i}", f"<body><p>{menu} {own(i)}</p>") for i in range(5)]
+    rows += [(10 + i, f"http://copy.org/{i}", f"<body><p>{own(10, 30)}</p>") for i in range(3)] + [(20 + i, None, f"<body><p>{own(20, 30)}</p>") for i in range(3)]
+    got = {r.page_id: r.text for r in HE.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert got == {i: own(i) for i in range(5)} | {10 + i: own(10, 30) for i in range(3)} | {20 + i: own(20, 30) for i in range(3)}
+
+
 def test_toxicity():
     rng = np.random.default_rng(2)
     sample = []
