@@ -19,29 +19,36 @@ the capacity, the first of them shorter if need be.
 from __future__ import annotations
 
 import os
-import re
 import zlib
-from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mosaiq.llm.common import table
-from mosaiq.plans.scratch import materialise
+from mosaiq.llm.store import Store
+from mosaiq.plans.scratch import fresh_path, materialise
+from mosaiq.plans.ship import ship
 
 CAPACITY, END_ID = 2048, 0
-#: A worker remembers the ids of at most this many chunks of at most this many characters.
-KEPT_CHUNKS, KEPT_LENGTH = 1_500_000, 48
-#: Texts in which a blank meets other white space, the end, or a NUL; chunks of visible characters and single line ends.
-STOPS = ".,;:!?"
-ODD, PLAIN = re.compile(r" (?=\s|\Z)|\0"), re.compile(r" ?\S+(?:\n\S+)*")
-_tokenizers: dict[str, tuple] = {}
+#: A worker remembers the ids of at most this many chunks, none longer than so many characters.
+KEPT_CHUNKS, KEPT_LENGTH = 1_500_000, 64
+#: Texts are encoded in slices of about so many bytes.
+SLICE_BYTES = 8_000_000
+#: White space of any kind, and texts where it does not stand alone (or that hold the mark used for cutting).
+WHITE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+ODD = rf"[ \n][{WHITE}]|[{WHITE}]\n|\x{{00}}"
+#: Chunks that begin with a blank, have visible characters beside it and at the end, and no line end.
+PLAIN = rf"^ [^{WHITE}](?:[^\n]*[^{WHITE}])?$"
+STOPPED = r"^[^\n]*\pL[.,;:!?]$"
+#: Prefix sums of so many tasks lie in one file.
+BUNDLE = 64
+_encoders: dict[str, Encoder] = {}
 
 
 def default_tokenizer() -> str:
@@ -51,8 +58,9 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Ids as little-endian bytes. A blank before a visible character always begins a new unit of
-    this tokenizer's splitting rule, so texts are cut there and equal chunks are encoded once."""
+    """Ids of whole batches. This tokenizer's splitting rule always begins a new unit at a blank before a
+    visible character, and makes a unit of a line end between visible characters, so texts are cut there
+    by Arrow and only chunks that are new to this worker are encoded. Chunk 0 is the end."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,14 +68,92 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.kept: dict[str, bytes] = {}
-
-    def raw(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def chunks(self, text: str) -> list[str]:
-        if not ODD.search(text):
-            return text.replace(" ", "\0 ").split("\0")
+        self.token_bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # a token's letters stand for one byte each
+        for token, i in self.tokenizer.get_vocab().items():
+            self.token_bytes[i] = len(token)
+        self.forget()
+
+    def forget(self) -> None:
+        self.kept: dict[str, int] = {}
+        self.pool, self.first, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.chunks = self.ids = 0
+        self.add([""], np.asarray([END_ID], np.uint32), np.asarray([1]))
+        self.kept.clear()
+
+    def raw(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def add(self, chunks: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Number chunks whose ids stand one after another."""
+        while self.ids + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while self.chunks + len(chunks) > len(self.first):
+            self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
+        own = slice(self.chunks, self.chunks + len(chunks))
+        self.pool[self.ids : self.ids + len(ids)] = ids
+        self.first[own], self.size[own] = self.ids + np.cumsum(sizes) - sizes, sizes
+        self.kept.update(zip(chunks, range(own.start, own.stop), strict=True))
+        self.chunks, self.ids = own.stop, self.ids + len(ids)
+
+    def learn(self, chunks: pa.Array) -> None:
+        """Encode new chunks: those that begin with a blank joined, as each begins a new unit; the bytes of their ids part them again.
+        A stop after a letter is a unit of its own, so a word is encoded once, with or without one."""
+        stopped = pc.match_substring_regex(chunks, STOPPED)
+        if pc.any(stopped, min_count=0).as_py():
+            whole = chunks.filter(stopped)
+            parts = [pc.utf8_slice_codeunits(whole, 0, -1), pc.utf8_slice_codeunits(whole, -1, None)]
+            names = [x.to_numpy(zero_copy_only=False).tolist() for x in (*parts, whole)]
+            others = pa.concat_arrays([chunks.filter(pc.invert(stopped)), *parts]).unique()
+            known = np.fromiter((c in self.kept for c in others.to_numpy(zero_copy_only=False).tolist()), bool, len(others))
+            self.learn(others.filter(pa.array(~known)))
+            pairs = np.asarray([[self.kept[c] for c in x] for x in names[:2]], np.int64).T
+            self.add(names[2], self.gather(pairs.reshape(-1)), self.size[pairs].sum(1))
+            return
+        plain = pc.match_substring_regex(chunks, PLAIN)
+        some = chunks.filter(plain)
+        names, ends = some.to_numpy(zero_copy_only=False).tolist(), np.cumsum(pc.binary_length(some).to_numpy(zero_copy_only=False), dtype=np.int64)
+        if names:
+            found = np.concatenate(self.raw(["".join(names[i : i + 200]) for i in range(0, len(names), 200)]))
+            upto = np.cumsum(self.token_bytes[found])
+            at = np.searchsorted(upto, ends)
+            if (upto[at] != ends).any():
+                raise ValueError("the tokenizer does not begin a unit at a blank before a visible character")
+            self.add(names, found, np.diff(at, prepend=-1))
+        rest = chunks.filter(pc.invert(plain)).to_numpy(zero_copy_only=False).tolist()
+        if rest:
+            found = self.raw(rest)
+            self.add(rest, np.concatenate(found), np.asarray([len(x) for x in found]))
+
+    def gather(self, order: np.ndarray) -> np.ndarray:
+        """The ids of chunks by number, one after another."""
+        sizes = self.size[order]
+        return self.pool[np.repeat(self.first[order] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+
+    def cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """(chunks of all texts in order, how many each has)."""
+        texts = pa.concat_arrays([texts.slice(0, 0), texts]).cast(pa.large_string()).fill_null("")
+        odd = pc.match_substring_regex(texts, ODD)
+        for s in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, s))
+        marked = pc.replace_substring(pc.replace_substring(texts, "\n", "\0\n\0"), " ", "\0 ")
+        lists = pc.split_pattern(marked, "\0")
+        if not pc.any(odd, min_count=0).as_py():
+            return lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        is_odd = odd.to_numpy(zero_copy_only=False)
+        rows = [self.cut_odd(texts[i].as_py()) for i in np.flatnonzero(is_odd)]
+        many = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        # chunks of plain and of odd texts, put into the order of the texts
+        plain_many = np.where(is_odd, 0, many)
+        many = plain_many.copy()
+        many[is_odd] = [len(r) for r in rows]
+        flat = pa.concat_arrays([lists.filter(pc.invert(odd)).flatten(), pa.array([c for r in rows for c in r], pa.large_string())])
+        start = np.where(is_odd, plain_many.sum() + np.cumsum(np.where(is_odd, many, 0)), np.cumsum(plain_many)) - many
+        return flat.take(pa.array(np.repeat(start - (np.cumsum(many) - many), many) + np.arange(many.sum()))), many
+
+    def cut_odd(self, text: str) -> list[str]:
+        """Chunks of a text with white space side by side; one that holds a special token stays whole."""
+        if any(s in text for s in self.special):
+            return [text]
         parts = text.split(" ")
         out = parts[:1]
         for p in parts[1:]:
@@ -77,96 +163,84 @@ class Encoder:
                 out[-1] += " " + p
         return out
 
-    def learn(self, missing: list[str]) -> dict[str, bytes]:
-        """Ids of chunks. Words are encoded without the line ends and the last stop or comma that the rule parts them from."""
-        parts = {c: units(c) for c in missing}
-        new = list({u for some in parts.values() for u in some if u not in self.kept})
-        found: dict[str, bytes] = {}
-        for a in range(0, len(new), 20_000):
-            found.update(zip(new[a : a + 20_000], self.raw(new[a : a + 20_000]), strict=True))
-        self.kept.update((u, ids) for u, ids in found.items() if len(u) <= KEPT_LENGTH)
-        kept = self.kept
-        return {c: b"".join([found[u] if u in found else kept[u] for u in some]) for c, some in parts.items()}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each followed by the end, and how many each has)."""
         if len(self.kept) > KEPT_CHUNKS:
-            self.kept.clear()
-        kept, whole = self.kept, {}
-        cut = []
-        for i, text in enumerate(texts):
-            if text and any(s in text for s in self.special):
-                whole[i] = self.raw([text])[0]
-                text = ""
-            cut.append(self.chunks(text) if text else [])
-        learned = self.learn(list(set(chain.from_iterable(cut)).difference(kept)))
-        long = {c: ids for c, ids in learned.items() if len(c) > KEPT_LENGTH}
-        kept.update((c, ids) for c, ids in learned.items() if len(c) <= KEPT_LENGTH)
-        out = []
-        for i, chunks in enumerate(cut):
-            if i in whole:
-                out.append(whole[i])
-            elif long and not long.keys().isdisjoint(chunks):
-                out.append(b"".join([long[c] if c in long else kept[c] for c in chunks]))
-            else:
-                out.append(b"".join(map(kept.__getitem__, chunks)))
-        return out
+            self.forget()
+        flat, many = self.cut(texts)
+        words = flat.dictionary_encode()
+        names = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number = np.fromiter((self.kept.get(c, -1) for c in names), np.int64, len(names))
+        new = number < 0
+        if new.any():
+            self.learn(words.dictionary.filter(pa.array(new)))
+            own = [names[i] for i in np.flatnonzero(new).tolist()]
+            number[new] = [self.kept[c] for c in own]
+            for c in own:
+                if len(c) > KEPT_LENGTH:
+                    del self.kept[c]
+        order = np.zeros(len(flat) + len(many), np.int64)
+        last = np.cumsum(many + 1) - 1
+        inner = np.ones(len(order), bool)
+        inner[last] = False
+        if len(flat):
+            order[inner] = number[words.indices.to_numpy(zero_copy_only=False)]
+        return self.gather(order), np.diff(np.cumsum(self.size[order])[last], prepend=0)
 
 
-def units(chunk: str) -> list[str]:
-    """A chunk cut where the splitting rule cuts in any case: around a single line end between visible
-    characters, and before a last stop, comma or the like that follows a letter."""
-    if "\n" not in chunk:
-        return [chunk[:-1], chunk[-1]] if len(chunk) > 2 and chunk[-1] in STOPS and chunk[-2].isalpha() else [chunk]
-    if not PLAIN.fullmatch(chunk):
-        return [chunk]
-    out = []
-    for i, part in enumerate(chunk.split("\n")):
-        if i:
-            out.append("\n")
-        if len(part) > 2 and part[-1] in STOPS and part[-2].isalpha():
-            out += [part[:-1], part[-1]]
-        else:
-            out.append(part)
-    return out
+def encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _tokenizers:
-        _tokenizers[path] = Encoder(path)
-    return _tokenizers[path]
+def cut(n: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, piece, start, length) of the pieces of documents of ``n`` ids each, one at least."""
+    many = -(-n // capacity)
+    of = np.repeat(np.arange(len(n)), many)
+    piece = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    head = (n - (many - 1) * capacity)[of]  # the first piece
+    return of, piece, np.where(piece > 0, head + (piece - 1) * capacity, 0), np.where(piece > 0, capacity, head)
 
 
-def cut(n: int, capacity: int) -> list[tuple[int, int]]:
-    """(start, length) of a document's pieces."""
-    if n <= capacity:
-        return [(0, n)]
-    first = n % capacity
-    return ([(0, first)] if first else []) + [(a, capacity) for a in range(first, n, capacity)]
+def by_bytes(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of about SLICE_BYTES; a longer text is a slice of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(sizes) - 1) // SLICE_BYTES
+    starts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+    for a, b in zip(starts[:-1], starts[1:], strict=True):
+        if a < b:
+            yield batch.slice(a, b - a)
 
 
 def pieces(documents: DataFrame, id_col: str, text_col: str, capacity: int, tokenizer: str, keep_ids: bool = False) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32, task, local_rank[, ids])."""
-    asked = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
+    ship(documents.sparkSession)
+    asked = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t"))
     kind = asked.schema["doc_id"].dataType.simpleString()
-    end = np.asarray([END_ID], "<u4").tobytes()
-    id_type = {"string": pa.string(), "int": pa.int32()}.get(kind, pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, ranks, task = encoder(tokenizer), [0] * (capacity + 1), TaskContext.get().partitionId()
+        enc, ranks, task = encoder(tokenizer), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                out: list[tuple] = []
-                for key, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist()), strict=True):
-                    ids += end
-                    for no, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
-                        own = ids[4 * start : 4 * (start + n)]
-                        out.append((key, no, start, n, zlib.crc32(own), task, ranks[n], own if keep_ids else None))
-                        ranks[n] += 1
-                cols = list(zip(*out, strict=True))
-                types = [id_type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()] + [pa.binary()] * keep_ids
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "local_rank"] + ["ids"] * keep_ids
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=False)], names=names)
+            for part in by_bytes(batch, 1):
+                ids, n = enc.encode(part.column(1))
+                of, piece, start, length = cut(n, capacity)
+                ends = 4 * np.cumsum(length)
+                raw = ids.astype("<u4").tobytes()
+                view = memoryview(raw)
+                crc = [zlib.crc32(view[b - 4 * m : b]) for b, m in zip(ends.tolist(), length.tolist(), strict=True)]
+                order = np.argsort(length, kind="stable")
+                sorted_length = length[order]
+                rank = np.empty(len(length), np.int64)
+                rank[order] = np.arange(len(length)) - np.searchsorted(sorted_length, sorted_length) + ranks[sorted_length]
+                ranks += np.bincount(length, minlength=capacity + 1)
+                columns = {
+                    "doc_id": part.column(0).take(pa.array(of)), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()),
+                    "ids_crc32": pa.array(crc, pa.int64()), "task": pa.array(np.full(len(of), task), pa.int32()), "local_rank": pa.array(rank, pa.int64()),
+                }
+                if keep_ids:
+                    columns["ids"] = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(of), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, task int, local_rank long" + ", ids binary" * keep_ids
     return asked.mapInArrow(run, schema)
@@ -260,21 +334,39 @@ def pack(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     placed = np.asarray(sorted(plan(totals, capacity)), np.int64).reshape(-1, 6)
     big = int(placed[:, 2].max()) + 1 if len(placed) else 1
     keys = placed[:, 0] * big + placed[:, 1]
-    # one row per task and length: not broadcast, as it grows with the number of tasks
-    ranked = cut_up.join(offsets.select("task", "length", "before").hint("merge"), ["task", "length"])
-    ranked = ranked.withColumn("rank", F.col("before") + F.col("local_rank")).drop("before", "task", "local_rank")
-    names = [c for c in ranked.columns if c != "rank"]
-    types = dict(ranked.dtypes)
+    uri, wide = fresh_path(spark, "pack-before"), capacity + 1
+
+    def write(group: pa.Table) -> pa.Table:
+        bundle = group["bundle"][0].as_py()
+        task, length, value = (group[c].to_numpy().astype(np.int64) for c in ("task", "length", "before"))
+        dense = np.zeros((BUNDLE, wide), np.int64)
+        dense[task % BUNDLE, length] = value
+        Store(uri).write(f"before-{bundle}", dense.reshape(-1))
+        return pa.table({"bundle": pa.array([bundle], pa.int32())})
+
+    # the ranks before each task, as arrays in the shared folder: neither pieces nor their ids are shuffled
+    bundles = offsets.select((F.col("task") / BUNDLE).cast("int").alias("bundle"), "task", "length", "before").groupBy("bundle").applyInArrow(write, "bundle int")
+    bundles.agg(F.count("*")).collect()
+    names = [c for c in cut_up.columns if c not in ("task", "local_rank")]
+    types = dict(cut_up.dtypes)
 
     def run(batches):
+        kept: dict[int, np.ndarray] = {}
         for batch in batches:
-            rank, length = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False), np.int64) for c in ("rank", "length"))
+            rank, length, task = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False), np.int64) for c in ("local_rank", "length", "task"))
+            rank = rank.copy()
+            for b in np.unique(task // BUNDLE).tolist():
+                if b not in kept:
+                    kept.clear()
+                    kept[b] = Store(uri).array(f"before-{b}", np.int64, BUNDLE * wide).reshape(BUNDLE, wide)
+                own = task // BUNDLE == b
+                rank[own] += kept[b][task[own] % BUNDLE, length[own]]
             row = placed[np.searchsorted(keys, length * big + rank, "right") - 1] if len(rank) else placed[:0]
             past = rank - row[:, 1]
             columns = [batch.column(c) for c in names] + [pa.array(row[:, 4] + past // row[:, 3]), pa.array(row[:, 5] + past % row[:, 3] * length)]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "sequence_id", "offset"])
 
-    return ranked.select(*names, "rank").mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in names) + ", sequence_id long, offset long")
+    return cut_up.select(*names, "task", "local_rank").mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in names) + ", sequence_id long, offset long")
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

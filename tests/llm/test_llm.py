@@ -1,11 +1,13 @@
 """The operators against brute force, and on empty, null, repeated and clashing input."""
 
+import itertools
 import math
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,7 +124,8 @@ def test_packing(docs, rows):
         of.setdefault(r.doc_id, []).append(r)
     for i, t, *_ in rows:
         ids = encode.encode(t or "", add_special_tokens=False).ids + [0]
-        cut = PK.cut(len(ids), 2048)
+        first = len(ids) % 2048 or 2048
+        cut = [(0, min(first, len(ids))), *((a, 2048) for a in range(first, len(ids), 2048))]
         mine = [r for r in of[i] if r.piece < len(cut)]
         assert {(r.piece, r.start, r.length) for r in mine} == {(n, *c) for n, c in enumerate(cut)}
         for r in mine:
@@ -161,11 +164,30 @@ def test_packing_plan(seed):
     assert len(bins) <= 1.06 * math.ceil(sum(n * c for n, c in counts.items()) / 100) + max(sum(c for n, c in counts.items() if n > 50) - sum(n * c for n, c in counts.items()) // 100, 0) + 1
 
 
-def test_chunked_encoding_equals_whole():
-    enc = PK.encoder(PK.default_tokenizer())
+def test_chunked_encoding_equals_whole(monkeypatch):
+    enc = PK.Encoder(PK.default_tokenizer())
     odd = ["a  b", "x \n y", "\ta b", "don't. stop's, it's", "end ", "  lead", "a.\nB c,\nd", "a\n\nb", "é. ü, 12. 3,", "\0 x y", "<|endoftext|> hi", "w" * 100 + " " + "v" * 60 + ". z", "", "\n",
-           "a .\nb ,", "Hi,\r\nyou", "x\x1cy z", "İx. ① a. b².", " x  y", "á. b"]
-    assert enc.encode(odd) == [enc.raw([x])[0] for x in odd]
+           "a .\nb ,", "Hi,\r\nyou", "x\x1cy z", "İx. ① a. b².", " x  y", "á. b", None, " ", "\n a", "q \x85 z\x85\ny"]
+    letters = ["a", " ", "\n", "\t", ".", "\u3000", "é", "1", "'s"]
+    odd += ["".join(x) for n in range(5) for x in itertools.product(letters, repeat=n)]
+    for _ in range(2):  # the second time from what is remembered
+        for texts in (odd, odd[::-1]):
+            ids, many = enc.encode(pa.array(texts))
+            ends = np.cumsum(many)
+            for x, e, n, want in zip(texts, ends, many, enc.raw([x or "" for x in texts]), strict=True):
+                assert ids[e - n : e].tolist() == [*want.tolist(), 0], x
+    monkeypatch.setattr(PK, "KEPT_CHUNKS", 3)
+    assert enc.encode(pa.array(["a b. c"]))[0].tolist() == [*enc.raw(["a b. c"])[0].tolist(), 0] and len(enc.kept) < 9
+    assert not len(enc.encode(pa.array([], pa.string()))[0])
+
+
+def test_packing_of_other_ids_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(PK, "BUNDLE", 2)
+    texts = [" ".join(f"v{i}" for i in range(n)) for n in (3, 5000, 0, 1200, 3, 3)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k long, text string").repartition(5)
+    rows = rows.select(F.col("k").cast("decimal(20,2)").alias("doc_id"), "text", F.lit(1).alias("task"), F.lit("x").alias("length"))
+    got = PK.pack(rows).collect()
+    assert {int(r.doc_id) for r in got} == set(range(6)) and len({(r.sequence_id, r.offset) for r in got}) == len(got)
 
 
 def test_language_model(spark, docs, rows):
