@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.plans.scratch import materialise
+from mosaiq.plans.scratch import materialise, remove
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
@@ -29,7 +29,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         large = materialise(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "cc-large")
         low = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
-        state = materialise(small.select("e.u", F.col("e.m").alias("v")).where("u <> v").distinct(), "cc")
+        before, state = state, materialise(small.select("e.u", F.col("e.m").alias("v")).where("u <> v").distinct(), "cc")
+        remove(before, least, large, low)
     else:
         raise RuntimeError(f"components did not settle within {most_rounds} rounds")
     roots = state.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))

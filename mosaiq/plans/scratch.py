@@ -2,13 +2,15 @@
 
 Intermediate tables that are read more than once, or whose lineage must be cut, are
 written as Parquet below the folder that the cluster names in ``spark.checkpoint.dir``.
-Only where that setting is absent (tests, local runs) a folder of our own is used.
+Only where that setting is absent and Spark runs in one process (tests) a folder of our own is used.
 """
 
 from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,12 +18,17 @@ from mosaiq.plans.ship import ship
 
 _LOCAL_DEFAULT = "/tmp/checkpoints"
 _runs: dict[str, str] = {}
+_open: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else a local default."""
+    """The folder all executors share, with its file system's scheme, as Spark itself resolves it."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or _LOCAL_DEFAULT).rstrip("/")
+    master = spark.sparkContext.master
+    if not found and master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found or _LOCAL_DEFAULT)
+    return str(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where)).rstrip("/")
 
 
 def run_dir(spark: SparkSession) -> str:
@@ -53,9 +60,37 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     ship(spark)
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _open:
+        _open[-1].append(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.scratch_path = path
+    return written
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a materialised table that no later plan reads."""
-    _remove(spark, path)
+def remove(*tables: DataFrame) -> None:
+    """Delete materialised tables that no later plan reads; others are left alone."""
+    for t in tables:
+        if path := getattr(t, "scratch_path", None):
+            _remove(t.sparkSession, path)
+
+
+@contextmanager
+def rounds(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables materialised within are deleted at its end, but for those passed through what it yields."""
+    kept: set[str] = set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(table.scratch_path)
+        return table
+
+    own: list[str] = []
+    _open.append(own)
+    try:
+        yield keep
+    finally:
+        _open.remove(own)
+        for path in own:
+            if path not in kept:
+                _remove(spark, path)
+            elif _open:
+                _open[-1].append(path)
