@@ -94,3 +94,19 @@ def rounds(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
                 _remove(spark, path)
             elif _open:
                 _open[-1].append(path)
+
+
+@contextmanager
+def tracked() -> Iterator[list[str]]:
+    """Yields the list of what is materialised within, for :func:`drop`."""
+    own: list[str] = []
+    _open.append(own)
+    try:
+        yield own
+    finally:
+        _open.remove(own)
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        _remove(spark, path)
