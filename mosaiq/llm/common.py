@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Return a worker's unused memory to the system; workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def plain_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The columns as c0, c1, ..., which clash with nothing an operator adds, and the new name of each."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names, strict=True))
+
+
+def own_names(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns under the names they came with, and no others."""
+    return rows.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def fold(key: Column, modulus: int) -> Column:
     """crc32 of the key as text, modulo ``modulus``; a null key counts as empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % modulus

@@ -1,16 +1,17 @@
 """Mixing sources to target weights with hash-threshold histograms (DataFrame functions only).
 
 Each document has a pseudo-random position in 60 bits, the leading hex digits of an md5 of its
-id. A source's words are summed by the leading bits of that position; the running sum over these
+id and text. A source's words are summed by the leading bits of that position; the running sum over these
 few histogram rows finds the bucket in which the source's budget ends. Only that boundary bucket
 is summed again by the next bits, and so on, which gives one threshold per source. Selecting is
 then the filter ``position < threshold``: nothing is sorted, and a larger budget always holds
 what a smaller one held.
 
 Defined cases: a null text has size 0, a null source is a source of its own (last in order), an
-empty table gives an empty result, repeated rows are rows of their own with equal decisions, and
-a null id has the position of the empty text. Documents that share all 36 refined bits are taken
-or left together, whichever comes nearer to the target.
+empty table gives an empty result, rows equal in id and text are rows of their own with equal
+decisions, and a null id counts as empty. Documents that share all 36 refined bits are taken
+or left together, whichever comes nearer to the target. The stage returns the columns it was
+given, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import table
+from mosaiq.llm.common import own_names, plain_names, table
 from mosaiq.plans.scratch import materialise
 
 #: Bits of each refinement and of the whole position.
@@ -35,9 +36,10 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def position(key: Column, seed: str = "mix") -> Column:
-    """60 pseudo-random bits of a key, the same in every run."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))
+def position(key: Column, text: Column, seed: str = "mix") -> Column:
+    """60 pseudo-random bits of a key and a text, the same in every run; both, as a key may be null or stand more than once."""
+    none = F.lit("")
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), none), F.lit(":"), F.coalesce(text, none)).cast("binary"))
     return F.conv(F.substring(digest, 1, ALL_BITS // 4), 16, 10).cast("long")
 
 
@@ -110,7 +112,8 @@ def thresholds(sizes: DataFrame, goals: DataFrame) -> DataFrame:
         )
         state = materialise(state, f"mix-step{step}")
     whole_edge = F.when(F.col("need") * 2 > F.col("edge_words"), F.lit(1 << (ALL_BITS - STEP_BITS * STEPS))).otherwise(0)
-    return state.select("skey", "source_size", "target", "times", (F.col("at") + whole_edge).alias("cut"))
+    nothing_more = F.col("target") <= F.col("times") * F.col("source_size")  # not even texts without words
+    return state.select("skey", "source_size", "target", "times", F.when(nothing_more, 0).otherwise(F.col("at") + whole_edge).cast("long").alias("cut"))
 
 
 def apply_mix(rows: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -124,7 +127,7 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """(one row per document: id, skey, size, position; the sources' thresholds)."""
     rows = documents.select(
         F.col(id_col).alias("doc_id"), source_key(F.col(source_col)).alias("skey"),
-        n_words(F.col(text_col)).alias("size"), position(F.col(id_col)).alias("position"),
+        n_words(F.col(text_col)).alias("size"), position(F.col(id_col), F.col(text_col)).alias("position"),
     )
     rows = materialise(rows, "mix-sizes")
     goals = materialise(targets(rows, **kw), "mix-goals")
@@ -141,17 +144,18 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of the mix; one that the mix takes twice stands there twice."""
+    plain, of = plain_names(docs)
     _, cuts = mix(docs)
-    named = docs.withColumn("skey", source_key(F.col("source"))).withColumn("position", position(F.col("doc_id")))
+    named = plain.withColumn("skey", source_key(F.col(of["source"]))).withColumn("position", position(F.col(of["doc_id"]), F.col(of["text"])))
     taken = apply_mix(named, cuts).where(F.col("taken_times") > 0)
-    return taken.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("taken_times").cast("int")))).select(*docs.columns)
+    return own_names(taken.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("taken_times").cast("int")))), of)
 
 
 OP2_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce('0' || source, '1') AS skey,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS pos
+         CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS pos
   FROM documents),
 per AS (SELECT skey, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY skey),
 ranked AS (SELECT *, row_number() OVER (ORDER BY skey) - 1 AS rnk FROM per),
@@ -173,7 +177,7 @@ fine AS (SELECT skey, pos >> 24 AS bucket, sum(size) AS words FROM d WHERE size
 running AS (SELECT *, sum(words) OVER (PARTITION BY skey ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS upto FROM fine),
 edge AS (SELECT r.skey, min(r.bucket) AS bucket, arg_min(r.upto, r.bucket) AS upto, arg_min(r.words, r.bucket) AS words,
                 any_value(a.target - a.base * a.source_size) AS need
-         FROM running r JOIN asked a USING (skey) WHERE r.upto > a.target - a.base * a.source_size GROUP BY r.skey),
+         FROM running r JOIN asked a USING (skey) WHERE r.upto > a.target - a.base * a.source_size AND a.target > a.base * a.source_size GROUP BY r.skey),
 cut AS (SELECT a.*, coalesce((e.bucket << 24) + CASE WHEN (need - (upto - words)) * 2 > words THEN 1 << 24 ELSE 0 END, 0) AS cut
         FROM asked a LEFT JOIN edge e USING (skey))
 SELECT d.doc_id, d.size, c.source_size, c.target,

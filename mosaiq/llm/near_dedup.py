@@ -31,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import table
+from mosaiq.llm.common import give_back, own_names, plain_names, table
 from mosaiq.llm.language_model import tokens
 from mosaiq.plans.graph import connected_components
-from mosaiq.plans.scratch import materialise
+from mosaiq.plans.scratch import materialise, rounds
+from mosaiq.plans.ship import ship
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -134,6 +135,7 @@ def text_keys(counts: np.ndarray, index: np.ndarray, hashes: np.ndarray) -> list
 
 def sign(documents: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     """The columns ``keep`` with key, bands (array of long), shingles (sorted 32-bit numbers, repeats told apart)."""
+    ship(documents.sparkSession)
     asked = documents.select(*keep, F.col(text_col).alias("__text"))
 
     def run(batches):
@@ -162,6 +164,7 @@ def sign(documents: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
                     ],
                     names=[*keep, "key", "bands", "shingles"],
                 )
+            give_back()
 
     types = asked.schema
     return asked.mapInArrow(run, ", ".join(f"`{c}` {types[c].dataType.simpleString()}" for c in keep) + ", key binary, bands array<long>, shingles binary")
@@ -292,14 +295,20 @@ def components(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return joined if last.isEmpty() else grown(joined, last)
 
 
-def classified(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Rows (rid, id, key, class: key of the class, first: struct of the row that stays, members)."""
-    signed = materialise(sign(documents.withColumn("rid", F.monotonically_increasing_id()) if "rid" not in documents.columns else documents, text_col, ["rid", id_col]), "dedup-signed")
-    joined = materialise(components(signed, threshold), "dedup-components")
-    rows = signed.select("rid", F.col(id_col).alias("id"), "key").join(joined.select(F.col("node").alias("key"), F.col("component").alias("class")), "key", "left")
-    rows = materialise(rows.withColumn("class", F.coalesce("class", "key")), "dedup-rows")
-    rank = F.struct(F.col("id").isNull().alias("n"), "id", "rid")
-    first = rows.groupBy("class").agg(F.min(rank).alias("first"), F.count("*").alias("members"))
+def classified(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, row_col: str | None = None) -> DataFrame:
+    """Rows (rid, id, key, class: key of the class, first: struct of the row that stays, members).
+
+    ``row_col`` names a column that numbers the rows, where the caller has one.
+    """
+    number = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
+    with rounds(documents.sparkSession) as keep:
+        signed = materialise(sign(documents.select(number.alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", ["rid", "id"]), "dedup-signed")
+        joined = materialise(components(signed, threshold), "dedup-components")
+        rows = signed.select("rid", "id", "key").join(joined.select(F.col("node").alias("key"), F.col("component").alias("class")), "key", "left")
+        rows = keep(materialise(rows.withColumn("class", F.coalesce("class", "key")), "dedup-rows"))
+        rank = F.struct(F.col("id").isNull().alias("n"), "id", "rid")
+        # written first, so that the join is one of two plain shuffles, which adaptive execution splits at a large class
+        first = keep(materialise(rows.groupBy("class").agg(F.min(rank).alias("first"), F.count("*").alias("members")), "dedup-first"))
     return rows.join(first, "class")
 
 
@@ -311,11 +320,10 @@ def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class."""
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    plain = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)], F.monotonically_increasing_id().alias("rid"))
-    plain = materialise(plain, "dedup-docs")
-    of = dict(zip(docs.columns, names, strict=True))
-    gone = classified(plain.select("rid", F.col(of["doc_id"]).alias("doc_id"), F.col(of["text"]).alias("text"))).where("rid <> first.rid").select("rid")
-    gone = materialise(gone, "dedup-gone")
+    plain, of = plain_names(docs)
+    plain = materialise(plain.withColumn("rid", F.monotonically_increasing_id()), "dedup-docs")
+    with rounds(spark) as keep:
+        gone = classified(plain, of["doc_id"], of["text"], row_col="rid").where("rid <> first.rid").select("rid")
+        gone = keep(materialise(gone, "dedup-gone"))
     side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS * 5 else gone
-    return plain.join(side, "rid", "left_anti").select(*[F.col(n).alias(c) for c, n in of.items()])
+    return own_names(plain.join(side, "rid", "left_anti"), of)

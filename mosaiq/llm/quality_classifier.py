@@ -6,7 +6,8 @@ flat arrays, through which workers send whole batches with one numpy step per le
 
 Defined cases: a null text is empty; an empty text, or one without words, has zero statistics and
 is scored like any other; without labels of both kinds every text scores the share of label 1 (0.5
-without labels); repeated rows score alike; an empty table gives an empty result.
+without labels); repeated rows score alike; an empty table gives an empty result. The stage returns the
+columns it was given, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import fold, labelled_sample, table
+from mosaiq.llm.common import fold, labelled_sample, own_names, plain_names, table
 from mosaiq.plans.ship import ship
 
 #: The training sample: rows, and the characters of all its texts.
@@ -113,33 +114,36 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality") -> Fo
     return fit(np.asarray([statistics(t) for t, _ in sample]).reshape(len(sample), len(FEATURES)), np.asarray([y for _, y in sample], float))
 
 
-def with_score(documents: DataFrame, forest: Forest, text_col: str, keep: list[str], threshold: float | None = None) -> DataFrame:
-    """The columns ``keep`` and ``__score``; only rows from ``threshold`` on, where given."""
+def with_score(documents: DataFrame, forest: Forest, text_col: str, keep: list[str], threshold: float | None = None, score_col: str = "__score") -> DataFrame:
+    """The columns ``keep`` and ``score_col``; only rows from ``threshold`` on, where given."""
     ship(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(forest)  # some 10 KB, whatever the data
-    asked = documents.select(*keep, F.col(text_col).alias("__text"))
+    names = [f"c{i}" for i in range(len(keep))]
+    asked = documents.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(text_col).cast("string").alias("t"))
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 x = np.asarray([statistics(t.as_py()) for t in batch.column(len(keep))], float)
                 score = shared.value.predict(x)
-                out = pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(score)], names=[*keep, "__score"])
+                out = pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(score)], names=[*names, "score"])
                 yield out if threshold is None else out.filter(pa.array(score >= threshold))
 
-    types = asked.schema
-    return asked.mapInArrow(run, ", ".join(f"`{c}` {types[c].dataType.simpleString()}" for c in keep) + ", `__score` double")
+    shape = "".join(f"{n} {asked.schema[n].dataType.simpleString()}, " for n in names)
+    scored = asked.mapInArrow(run, f"{shape}score double")
+    return scored.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], F.col("score").alias(score_col))
 
 
 def op4_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     forest = train(documents, table(spark, sf_dir, "labels"))
-    return with_score(documents, forest, "text", ["doc_id"]).select(
-        "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.3).cast("int").alias("predicted")
+    return with_score(documents, forest, "text", ["doc_id"], score_col="score").select(
+        "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
     )
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.3 or more. Learned from the labelled rows of the whole corpus, as the rows handed over hold few bad ones."""
     forest = train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return with_score(docs, forest, "text", docs.columns, 0.3).select(*docs.columns)
+    plain, of = plain_names(docs)
+    return own_names(with_score(plain, forest, of["text"], plain.columns, 0.3), of)

@@ -9,7 +9,7 @@ all rules must pass.
 Defined cases: a null text has no words; a text without words fails the base test; a document on
 which all rules abstain gets the prior; repeated rows are judged alike; an empty table gives an
 empty result. Statistics are exact but for windows of three words, which are compared by a 64-bit
-hash within one document.
+hash within one document. The stage returns the columns it was given, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import table
+from mosaiq.llm.common import own_names, plain_names, table
 from mosaiq.plans.scratch import materialise
 
 WHITE = r"[\x20\x09-\x0D]"
@@ -172,8 +172,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The base test is a part of the operator's verdict, so a document that fails it goes.
     """
-    every = materialise(with_stats(docs), "rules-docs")
+    plain, of = plain_names(docs)
+    every = materialise(with_stats(plain, of["text"]), "rules-docs")
     model = fit(vote_patterns(every.select("st.*")))
-    names = [f"__d{i}" for i in range(len(docs.columns))]
-    kept = judged(every.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)], "st.*"), model)
-    return kept.where("kept").select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
+    return own_names(judged(every.select(*of.values(), "st.*"), model).where("kept"), of)

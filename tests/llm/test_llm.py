@@ -234,7 +234,7 @@ def test_language_model(spark, docs, rows):
 
 
 def test_near_duplicates(docs, rows):
-    got = ND.classified(docs.drop("rid").select("doc_id", "text")).collect()
+    got = ND.classified(docs).collect()
     assert len(got) == len(rows)
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -254,7 +254,7 @@ def test_near_duplicates(docs, rows):
     sizes = {rows[i][0]: classes[label[i]] for i in range(len(rows))}
     assert all(r.members == sizes[r.id] for r in got)
     assert sum(r.rid == r["first"]["rid"] for r in got) == len(classes)
-    assert ND.classified(docs.limit(0).select("doc_id", "text")).count() == 0
+    assert ND.classified(docs.limit(0)).count() == 0
 
 
 def test_weighted_signatures_are_unbiased():

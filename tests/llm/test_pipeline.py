@@ -1,7 +1,10 @@
 """The pipeline's stages on a small corpus."""
 
+import os
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
@@ -44,3 +47,30 @@ def test_empty(spark, corpus):
     docs = spark.read.parquet(f"{path}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, path).count() == 0
+
+
+def test_stages_return_columns_of_any_name(spark, corpus):
+    """One column of each name that a stage uses itself."""
+    path, _ = corpus
+    names = ["skey", "position", "copy_no", "cut", "times", "target", "source_size", "size", "taken_times", "st", "__t", "__w", "__text", "__score", "score", "t", "rid", "key", "id",
+             "bands", "shingles", "class", "first", "members", "c0", "c3", "n_words", "kept", "posterior", "base_failed", "task", "length", "ids", "piece", "h"]
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    docs = docs.select("*", *[F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias(n) for n in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, path)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, path).count() >= docs.count()
+
+
+def test_scratch_tables_go_when_the_next_stage_begins(spark, corpus, tmp_path):
+    path, _ = corpus
+    stages = [f for _, f in corpus_pipeline.STAGES]
+    docs = stages[0](spark, spark.read.parquet(f"{path}/documents.parquet"), path)
+    held = list(corpus_pipeline._left)
+    assert stages[1](spark, docs, path).count() == docs.count()  # unwritten: the tables stay
+    assert held and set(held) <= set(corpus_pipeline._left)
+    docs.write.parquet(str(tmp_path / "out"))
+    stages[1](spark, spark.read.parquet(str(tmp_path / "out")), path)
+    assert not set(held) & set(corpus_pipeline._left) and not any(os.path.exists(p.removeprefix("file:")) for p in held)
