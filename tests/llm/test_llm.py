@@ -306,12 +306,57 @@ def test_pages(spark):
     assert len(got) == len(rows) and all(of[i].text == own(i) for i in range(6))
     assert of[6].text == "" and of[7].text == "" and of[9].text == "" and all(r.n_chars == len(r.text) for r in got)
     assert "kept" in {r.text for r in got}
-    tokens = np.asarray([1, 2, 3, 1, 2, 3, 9, 1, 2], np.uint64)
-    at, group = HE.suffix_groups(tokens, np.asarray([0, 0, 0, 1, 1, 1, 1, 2, 2]), 2)
+    group = HE.suffix_groups(np.asarray([1, 2, 3, 1, 2, 3, 9, 1, 2], np.uint64), 2)
     same = {}
-    for a, g in zip(at, group, strict=True):
-        same.setdefault(g, []).append(int(a))
-    assert sorted(same.values()) == [[0, 3, 7], [1, 4], [5]]
+    for a, g in enumerate(group):
+        same.setdefault(g, []).append(a)
+    assert sorted(same.values()) == [[0, 3, 7], [1, 4], [2], [5], [6], [8]]
+
+
+def test_pages_with_odd_attributes_and_ordinary_names():
+    texts = lambda page: [t for k, t in HE.blocks(page) if k != 0]
+    assert texts("<div><a title=don't>hi</a><p>It's fine</p><p>more</p></div>") == ["hi", "It's fine", "more"]
+    assert texts("<p a='x>y' b=\"p>q\" c = d>one</p><p '>two</p><p a=\"open>three") == ["one", "two", "three"]
+    for name in ("share-price", "related-work", "modal-verbs", "notice-of-hearing", "search-theory", "header-file", "social_history", "ad-hoc", "comment-on-hegel"):
+        assert texts(f"<article><section class='{name}'><p>kept</p></section></article>") == ["kept"], name
+        assert texts(f"<div class={name} id={name}><article><p>kept</p></article></div>") == ["kept"], name
+    for name in ("share", "share-buttons", "related-posts", "modal", "cookie-notice", "site-header", "ad-300x250", "comment-list", "newsletter_signup_form", "nav-main", "sidebar-left"):
+        assert texts(f"<article><div class='x {name}'><p>gone</p></div><p>kept</p></article>") == ["kept"], name
+    long = "<p a=" + "'" * 50000 + "=" * 50000
+    assert HE.blocks(long) == [] and texts(long + ">x") == ["x"]
+
+
+def test_pages_repeats_against_brute_force(spark):
+    """Runs of several lengths planted in pages without an article; what stays is what no three pages of a host share."""
+    rng = np.random.default_rng(9)
+    shared = [" ".join(f"s{i}k{j}" for j in range(n)) for i, n in enumerate((2, 5, 8, 9, 30, 70))]
+    rows, parsed = [], {}
+    for i in range(60):
+        parts = []
+        for b in range(5):
+            own = [f"o{i}b{b}w{j}" for j in range(int(rng.integers(0, 12)))]
+            if rng.random() < 0.6:
+                own.insert(int(rng.integers(0, len(own) + 1)), shared[int(rng.integers(0, 6))])
+            parts.append(" ".join(own).split())
+        host = ["a.org", "b.org", ""][0 if i % 3 else i % 7 % 3]
+        rows.append((i, f"http://{host}/{i}" if host else None, "<body>" + "".join(f"<p>{' '.join(p)}</p>" for p in parts)))
+        parsed[i] = (host, [p for p in parts if p])
+
+    def runs(p):
+        return {(k, tuple(p[k : k + HE.RUN])) for k in range(len(p)) if k + HE.RUN <= len(p) or not k}
+
+    pages = Counter()
+    for host, parts in parsed.values():
+        pages.update({(host, len(r) < HE.RUN, r) for p in parts for _, r in runs(p)})
+    want = {}
+    for i, (host, parts) in parsed.items():
+        left = []
+        for p in parts:
+            gone = {k + d for k, r in runs(p) if pages[host, len(r) < HE.RUN, r] >= HE.PAGES for d in range(len(r))}
+            left.append(" ".join(w for k, w in enumerate(p) if k not in gone))
+        want[i] = "\n".join(x for x in left if x)
+    got = {r.page_id: r.text for r in HE.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)).collect()}
+    assert got == want and sum(t.count("s5k9 ") for t in want.values()) < 5
 
 
 def test_pages_lose_only_what_repeats(spark):
