@@ -39,6 +39,8 @@ from mosaiq.plans.ship import ship
 END = xxhash.xxh3_64_intdigest(b" end")
 #: A task sums up its counts whenever it has seen this many tokens.
 FLUSH_TOKENS = 1_500_000
+#: A range of pairs stands for about so many tokens of the corpus, so that no task grows with it.
+RANGE_TOKENS = 8_000_000
 #: Texts read at a time, so that a worker's memory does not follow the size of Spark's batches.
 ROWS = 2000
 
@@ -140,7 +142,7 @@ class Model:
     uri: str
     parts: int
     first: tuple[int, ...]  # id of each range's first word, and V at the end
-    pairs: tuple[int, ...]  # distinct pairs of each range
+    pairs: tuple[int, ...] = ()  # distinct pairs of each range, negative where a count is beyond 32 bits
     total: int = 0
     discount: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
     lower: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
@@ -188,11 +190,11 @@ class Model:
     def pair_counts(self, mixed: np.ndarray) -> np.ndarray:
         """Counts of mixed pairs in order."""
         out = np.zeros(len(mixed), np.int64)
-        cuts = np.searchsorted(part_of(mixed, self.parts), np.arange(self.parts + 1))
-        for p in range(self.parts):
-            n, some = self.pairs[p], slice(cuts[p], cuts[p + 1])
+        cuts = np.searchsorted(part_of(mixed, len(self.pairs)), np.arange(len(self.pairs) + 1))
+        for p in np.flatnonzero(np.diff(cuts)).tolist():
+            n, some = abs(self.pairs[p]), slice(cuts[p], cuts[p + 1])
             if n and some.start < some.stop:
-                keys, counts = self.array(f"pairs-{p}", U64, n), self.array(f"pair-counts-{p}", np.uint32, n)
+                keys, counts = self.array(f"pairs-{p}", U64, n), self.array(f"pair-counts-{p}", np.uint32 if self.pairs[p] > 0 else np.int64, n)
                 at = np.minimum(np.searchsorted(keys, mixed[some]), n - 1)
                 out[some] = np.where(keys[at] == mixed[some], counts[at], 0)
         return out
@@ -229,7 +231,7 @@ def _merged(group: pa.Table, dtype, width: int = 1) -> tuple[np.ndarray, np.ndar
 
 
 def train(rows: DataFrame, text_col: str, parts: int) -> Model:
-    """Count the texts of ``rows``; ``parts`` is the number of ranges, to be raised with the size of the corpus."""
+    """Count the texts of ``rows``; ``parts`` is the number of ranges of words, and the least number of ranges of pairs, which grows with the corpus."""
     spark = rows.sparkSession
     ship(spark)
     uri = fresh_path(spark, "lm")
@@ -262,8 +264,11 @@ def train(rows: DataFrame, text_col: str, parts: int) -> Model:
     counted = texts.mapInArrow(count_words, BLOCK).groupBy("part").applyInArrow(write_words, "part int, n long, tokens long")
     sizes = {r["part"]: r for r in counted.collect()}  # one row per range
     first = np.concatenate([[0], np.cumsum([sizes[p]["n"] if p in sizes else 0 for p in range(parts)])])
-    model = Model(uri, parts, tuple(int(x) for x in first), (0,) * parts, sum(r["tokens"] for r in sizes.values()))
+    model = Model(uri, parts, tuple(int(x) for x in first), (), sum(r["tokens"] for r in sizes.values()))
     begin = model.vocabulary
+    if begin >= 2**32 - 2:
+        raise ValueError("ids of words must fit 32 bits")
+    pair_parts = max(parts, -(-model.total // RANGE_TOKENS))
 
     def count_pairs(batches):
         keys, held = [], 0
@@ -271,7 +276,7 @@ def train(rows: DataFrame, text_col: str, parts: int) -> Model:
 
         def flush():
             k, c = np.unique(np.concatenate(keys), return_counts=True)
-            return blocks(k, c.astype(np.uint32), part_of(k, parts))
+            return blocks(k, c.astype(np.uint32), part_of(k, pair_parts))
 
         for batch in slices(batches):
             per, index, hashes = tokens(batch.column(0))
@@ -292,7 +297,8 @@ def train(rows: DataFrame, text_col: str, parts: int) -> Model:
         part = group["part"][0].as_py()
         keys, counts = _merged(group, np.uint32)
         Store(uri).write(f"pairs-{part}", keys)
-        Store(uri).write(f"pair-counts-{part}", counts.astype(np.uint32))
+        wide = len(counts) and counts.max() >= 2**32
+        Store(uri).write(f"pair-counts-{part}", counts if wide else counts.astype(np.uint32))
         plain = unmix(keys)
         of_first = np.stack([counts, counts == 1, counts == 2, counts >= 3], axis=1).astype(np.int64)
         out = []
@@ -300,7 +306,7 @@ def train(rows: DataFrame, text_col: str, parts: int) -> Model:
             k, v = summed(ids, values)
             for b in blocks(k, v, np.searchsorted(bounds, k, "right")):
                 out.append(pa.table({"kind": pa.array([kind] * b.num_rows, pa.int32())} | {n: b.column(n) for n in ("part", "keys", "values")}))
-        stats = np.asarray([len(keys), *(int((counts == i).sum()) for i in (1, 2, 3, 4))], np.int64)
+        stats = np.asarray([-len(keys) if wide else len(keys), *(int((counts == i).sum()) for i in (1, 2, 3, 4))], np.int64)
         out.append(pa.table({"kind": pa.array([2], pa.int32()), "part": pa.array([part], pa.int32()), "keys": pa.array([b""], pa.binary()), "values": pa.array([stats.tobytes()], pa.binary())}))
         return pa.concat_tables(out)
 
@@ -323,7 +329,7 @@ def train(rows: DataFrame, text_col: str, parts: int) -> Model:
     paired = texts.mapInArrow(count_pairs, BLOCK).groupBy("part").applyInArrow(write_pairs, shape)
     rows_out = paired.groupBy("kind", "part").applyInArrow(write_sums, shape).collect()  # a few sums per range
     stats = {(r["kind"], r["part"]): np.frombuffer(bytes(r["values"]), np.int64) for r in rows_out}
-    pairs = tuple(int(stats[2, p][0]) if (2, p) in stats else 0 for p in range(parts))
+    pairs = tuple(int(stats[2, p][0]) if (2, p) in stats else 0 for p in range(pair_parts))
     of_pairs = sum((s for (k, _), s in stats.items() if k == 2), np.zeros(5, np.int64))
     of_follow = sum((s for (k, _), s in stats.items() if k == 1), np.zeros(6, np.int64))
     missing = [(n, p) for p in range(parts) for k, names in ((0, ("c", "n1", "n2", "n3")), (1, ("follows",))) if (k, p) not in stats for n in names]

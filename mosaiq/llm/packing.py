@@ -30,16 +30,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import table
+from mosaiq.llm.common import give_back, table
 from mosaiq.llm.store import Store
 from mosaiq.plans.scratch import fresh_path, materialise
 from mosaiq.plans.ship import ship
 
 CAPACITY, END_ID = 2048, 0
 #: A worker remembers the ids of at most this many chunks, none longer than so many characters.
-KEPT_CHUNKS, KEPT_LENGTH = 1_500_000, 64
+KEPT_CHUNKS, KEPT_LENGTH = 600_000, 64
 #: Texts are encoded in slices of about so many bytes.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 #: White space of any kind, and texts where it does not stand alone (or that hold the mark used for cutting).
 WHITE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 ODD = rf"[ \n][{WHITE}]|[{WHITE}]\n|\x{{00}}"
@@ -241,6 +241,7 @@ def pieces(documents: DataFrame, id_col: str, text_col: str, capacity: int, toke
                 if keep_ids:
                     columns["ids"] = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(of), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+            give_back()
 
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, task int, local_rank long" + ", ids binary" * keep_ids
     return asked.mapInArrow(run, schema)

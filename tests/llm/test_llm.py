@@ -190,7 +190,8 @@ def test_packing_of_other_ids_and_long_texts(spark, monkeypatch):
     assert {int(r.doc_id) for r in got} == set(range(6)) and len({(r.sequence_id, r.offset) for r in got}) == len(got)
 
 
-def test_language_model(spark, docs, rows):
+def test_language_model(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(LM, "RANGE_TOKENS", 2000)  # more ranges of pairs than of words
     held = F.coalesce(F.col("doc_id") % 3 == 2, F.lit(False))
     model = LM.train(docs.where(~held), "text", 5)
     got = LM.score(docs, model, held_out=held).collect()
