@@ -59,7 +59,8 @@ class Image:
         return {"grid": TI.by_grid, "blocks": TI.by_blocks, "yx": TI.by_yx, "zyx": TI.by_zyx}[kind](dims, **kw)
 
     def percentiles(self, q: list[float]) -> DataFrame:
-        return ST.percentiles(self.rows, q, "c" if "c" in self.axes else F.lit(0).alias("c"), self.value)
+        rows = self.rows if "c" in self.axes else self.rows.withColumn("c", F.lit(0))
+        return ST.percentiles(rows, q, "c", self.value)
 
     def masked(self, labels: Image, label: int | None, fill: float = 0) -> DataFrame:
         return P.mask_fill(self.rows, labels.rows, labels.space, label, fill, self.value)

@@ -17,8 +17,12 @@ def selection(axis: str, what, size: int | None = None) -> Column:
     if what is None:
         return F.lit(True)
     if isinstance(what, slice):
-        low, high = what.start, what.stop
+        low, high, step = what.start, what.stop, 1 if what.step is None else what.step
+        if not isinstance(step, int) or step < 1:
+            raise ValueError(f"{axis}: a step is a whole number from 1 on")
         hold = F.lit(True)
+        if step > 1:
+            hold &= (c - int(max(0, (low or 0) // 1))) % step == 0
         if low is not None:
             hold &= c >= int(max(0, low // 1))
         if high is not None:

@@ -39,11 +39,12 @@ def cast_back(value: Column, dtype: str | None) -> Column:
     return value.cast("long") if dtype in INTEGERS else value
 
 
-def coarsen(image: DataFrame, factor: dict[str, int], sizes: dict[str, int], how: str = "mean", dtype: str | None = None, value: str = "value", keys: list[str] | None = None) -> DataFrame:
+def coarsen(image: DataFrame, factor: dict[str, int], sizes: dict[str, int], how: str = "mean", dtype: str | None = None, value: str = "value", fill: float = 0) -> DataFrame:
     """Blocks of ``factor`` pixels as one pixel: their mean, or their largest value (``max``).
 
-    Blocks over the border are left out. One hash aggregation with partial sums; pixels that are not
-    there do not count.
+    Blocks over the border are left out. One hash aggregation with partial sums. A pixel without a row
+    holds ``fill``: a mean is over all pixels of the block, whether the image stores its background or
+    not, and so is the largest value where the block has rows at all. Blocks without rows stay so.
     """
     if how not in ("mean", "max"):
         raise ValueError("how is mean or max")
@@ -52,7 +53,12 @@ def coarsen(image: DataFrame, factor: dict[str, int], sizes: dict[str, int], how
         kept = kept.where(F.col(a) < sizes[a] // f * f)
     others = [c for c in image.columns if c != value and c not in factor]
     block = [F.floor(F.col(a) / f).cast("int").alias(a) for a, f in factor.items()]
-    made = F.avg(value) if how == "mean" else F.max(value)
+    size = math.prod(factor.values())
+    absent = size - F.count(value)
+    if how == "mean":
+        made = (F.sum(value) + absent * F.lit(fill)) / F.lit(float(size))
+    else:
+        made = F.greatest(F.max(value), F.when(absent > 0, F.lit(fill)))
     return kept.groupBy(*others, *block).agg(cast_back(made, dtype).alias(value)).select(*image.columns)
 
 

@@ -173,32 +173,35 @@ def halo_clip(spark, sf):
     return r.select("label", "s.first", "s.stop", F.col("h.first").alias("h_first"), F.col("h.stop").alias("h_stop"))
 
 
-@query(f"""WITH {V.BOXES} SELECT a.id AS a, b.id AS b, greatest(a.x_start, b.x_start) AS x_start, least(a.x_stop, b.x_stop) AS x_stop,
- greatest(a.y_start, b.y_start) AS y_start, least(a.y_stop, b.y_stop) AS y_stop FROM boxes a JOIN boxes b ON a.id < b.id AND a.id % 10 = b.id % 10
+#: Pairs of boxes in SQL: those that share the cell in which their common box begins are compared.
+_CELLS = f"""{V.BOXES}, xs AS (SELECT *, unnest(range(CAST(floor(x_start / 16) AS BIGINT), CAST(floor(x_stop / 16) AS BIGINT) + 1)) AS cx FROM boxes),
+ cells AS (SELECT *, unnest(range(CAST(floor(y_start / 16) AS BIGINT), CAST(floor(y_stop / 16) AS BIGINT) + 1)) AS cy FROM xs)"""
+_FIRST_CELL = "a.cx = b.cx AND a.cy = b.cy AND a.id < b.id AND a.cx = floor(greatest(a.x_start, b.x_start) / 16) AND a.cy = floor(greatest(a.y_start, b.y_start) / 16)"
+
+
+@query(f"""WITH {_CELLS} SELECT a.id AS a, b.id AS b, greatest(a.x_start, b.x_start) AS x_start, least(a.x_stop, b.x_stop) AS x_stop,
+ greatest(a.y_start, b.y_start) AS y_start, least(a.y_stop, b.y_stop) AS y_stop FROM cells a JOIN cells b ON {_FIRST_CELL}
  AND a.x_start < b.x_stop AND b.x_start < a.x_stop AND a.y_start < b.y_stop AND b.y_start < a.y_stop""")
 def overlap_pairs(spark, sf):
-    """Pairs of the same kind (id modulo 10 as the label that must agree)."""
-    pairs = S.overlap_pairs(V.event_boxes(spark, sf), "id", ["x", "y"], CELL, F.col("a.id") % 10 == F.col("b.id") % 10)
+    """All pairs of overlapping boxes."""
+    pairs = S.overlap_pairs(V.event_boxes(spark, sf), "id", ["x", "y"], CELL)
     return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), *S.common_box(["x", "y"]))
 
 
-@query(f"""WITH {V.BOXES} SELECT a.id AS ka, b.id AS kb FROM boxes a JOIN boxes b ON a.id < b.id AND a.id % 10 = b.id % 10
- AND a.x_start < b.x_stop + 1 AND b.x_start < a.x_stop + 1 AND a.y_start < b.y_stop AND b.y_start < a.y_stop AND NOT (a.x_start < b.x_stop AND b.x_start < a.x_stop)""")
-def touching_pairs(spark, sf):
-    boxes = V.event_boxes(spark, sf).withColumn("kind", F.col("id") % 10).withColumn("y_start", F.col("y_start") + F.col("kind") * 1000).withColumn("y_stop", F.col("y_stop") + F.col("kind") * 1000)
-    return S.touching_only(boxes, "id", ["x", "y"], CELL, "x")
+@query(f"""WITH {_CELLS}, kinds AS (SELECT event_id AS id, event_type AS kind FROM events)
+ SELECT a.id AS a, b.id AS b, ka.kind AS kind FROM cells a JOIN cells b ON {_FIRST_CELL} AND a.x_start < b.x_stop AND b.x_start < a.x_stop AND a.y_start < b.y_stop AND b.y_start < a.y_stop
+ JOIN kinds ka ON ka.id = a.id JOIN kinds kb ON kb.id = b.id WHERE ka.kind = kb.kind""")
+def compatible_pairs(spark, sf):
+    """Overlapping boxes whose labels agree: events of one type."""
+    kinds = V.table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"))
+    pairs = S.overlap_pairs(V.event_boxes(spark, sf).join(kinds, "id"), "id", ["x", "y"], CELL, S.labels_compatible(F.col("a.kind"), F.col("b.kind")))
+    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.kind").alias("kind"))
 
 
-@query()
-def overlap_pairs_all(spark, sf):
-    """All pairs; overlap_pairs is the part that its SQL covers."""
-    pairs = S.overlap_pairs(V.event_boxes(spark, sf), "id", ["x", "y"], CELL)
-    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), *S.common_box(["x", "y"]))
-
-
-@query()
-def touching_pairs_all(spark, sf):
-    """All pairs; touching_pairs is the part that its SQL covers."""
+@query(f"""WITH {_CELLS} SELECT a.id AS ka, b.id AS kb FROM cells a JOIN cells b ON {_FIRST_CELL}
+ AND (a.x_stop = b.x_start OR b.x_stop = a.x_start) AND a.y_start < b.y_stop AND b.y_start < a.y_stop""")
+def touching_pairs(spark, sf):
+    """All pairs of boxes that touch along x and overlap along y."""
     return S.touching_only(V.event_boxes(spark, sf), "id", ["x", "y"], CELL, "x")
 
 
@@ -295,15 +298,8 @@ def slice_selection(spark, sf):
     return P.select(V.pixels(spark, sf), {"c": 3, "y": 256, "x": 256}, c=1, y=slice(10.5, 100.2), x=[200, 3, 17])
 
 
-@query(f"""WITH {V.PIXELS}, {V.REGIONS} SELECT label, c, y, x, value FROM rois JOIN pixels ON x >= floor(xs) AND x < ceil(xs + xl) AND y >= floor(ys) AND y < ceil(ys + yl) WHERE label < 300""")
+@query(f"""WITH {V.PIXELS}, {V.REGIONS} SELECT label, c, y, x, value FROM rois JOIN pixels ON x >= floor(xs) AND x < ceil(xs + xl) AND y >= floor(ys) AND y < ceil(ys + yl)""")
 def region_pixels(spark, sf):
-    regions = V.event_regions(spark, sf).where("label < 300").select("label", "x", "y")
-    return P.select_regions(V.pixels(spark, sf), regions, ["y", "x"], {}, {"y": 256, "x": 256}).select("label", "c", "y", "x", "value")
-
-
-@query()
-def region_pixels_all(spark, sf):
-    """Pixels of every region; region_pixels is the part that its SQL covers."""
     regions = V.event_regions(spark, sf).select("label", "x", "y")
     return P.select_regions(V.pixels(spark, sf), regions, ["y", "x"], {}, {"y": 256, "x": 256}).select("label", "c", "y", "x", "value")
 
@@ -380,7 +376,7 @@ def channel_percentiles(spark, sf):
 # -- pyramid ---------------------------------------------------------------------------------
 
 
-@query(f"WITH {V.PIXELS} SELECT c, y // 2 AS y, x // 2 AS x, round(avg(value), 6) AS value FROM pixels GROUP BY 1, 2, 3")
+@query(f"WITH {V.PIXELS} SELECT c, y // 2 AS y, x // 2 AS x, round(sum(value) / 4.0::DOUBLE, 6) AS value FROM pixels GROUP BY 1, 2, 3")
 def coarsen_mean(spark, sf):
     return Y.coarsen(V.pixels(spark, sf), {"y": 2, "x": 2}, {"y": 256, "x": 256}).withColumn("value", F.round("value", 6))
 
@@ -391,14 +387,14 @@ def coarsen_max(spark, sf):
     return out.withColumnRenamed("value", "label")
 
 
-@query(f"""WITH {V.PIXELS}, l1 AS (SELECT c, y // 2 AS y, x // 2 AS x, CAST(trunc(avg(value)) AS BIGINT) AS value FROM pixels GROUP BY 1, 2, 3)
- SELECT c, y // 2 AS y, x // 2 AS x, CAST(trunc(avg(value)) AS BIGINT) AS value FROM l1 GROUP BY 1, 2, 3""")
+@query(f"""WITH {V.PIXELS}, l1 AS (SELECT c, y // 2 AS y, x // 2 AS x, CAST(sum(value) // 4 AS BIGINT) AS value FROM pixels GROUP BY 1, 2, 3)
+ SELECT c, y // 2 AS y, x // 2 AS x, CAST(sum(value) // 4 AS BIGINT) AS value FROM l1 GROUP BY 1, 2, 3""")
 def pyramid_level_2(spark, sf):
     return Y.build(V.pixels(spark, sf), {"y": 2, "x": 2}, {"y": 256, "x": 256}, 3, dtype="uint16")[2]
 
 
 @query(f"""WITH {V.PIXELS}, now AS (SELECT c, y, x, CASE WHEN y >= 10 AND y < 31 AND x >= 40 AND x < 77 THEN value + 100 ELSE value END AS value FROM pixels)
- SELECT c, y // 2 AS y, x // 2 AS x, round(avg(value), 6) AS value FROM now GROUP BY 1, 2, 3""")
+ SELECT c, y // 2 AS y, x // 2 AS x, round(sum(value) / 4.0::DOUBLE, 6) AS value FROM now GROUP BY 1, 2, 3""")
 def pyramid_refresh(spark, sf):
     """A level after a write to one region, made again from the blocks it reaches only."""
     sizes, factor = {"y": 256, "x": 256}, {"y": 2, "x": 2}
@@ -449,11 +445,11 @@ def concat_tables_eager(spark, sf):
     return T.concat([(first, {"acq": "0"}), (second, {"acq": "1"})], "index", lazy=False)
 
 
-_CAT = "cat AS (SELECT DISTINCT c_nationkey AS image, c_mktsegment AS name, CASE WHEN c_mktsegment < 'C' THEN 'roi_table' ELSE 'feature_table' END AS kind FROM customer WHERE c_acctbal > 8000)"
+_CAT = "cat AS (SELECT DISTINCT c_nationkey AS image, c_mktsegment AS name, CASE WHEN c_mktsegment < 'C' THEN 'roi_table' ELSE 'feature_table' END AS kind FROM customer WHERE c_acctbal > 6000)"
 
 
 def _catalog(spark, sf):
-    c = V.table(spark, sf, "customer").where("c_acctbal > 8000")
+    c = V.table(spark, sf, "customer").where("c_acctbal > 6000")
     return c.select(F.col("c_nationkey").alias("image"), F.col("c_mktsegment").alias("name"), F.when(F.col("c_mktsegment") < "C", "roi_table").otherwise("feature_table").alias("kind")).distinct()
 
 
@@ -472,18 +468,12 @@ def roi_table_round_trip(spark, sf):
     return T.from_regions(T.to_regions(T.from_regions(V.event_regions(spark, sf))))
 
 
-@query("SELECT event_id, CASE WHEN r > 1 THEN event_type || '_' || r ELSE event_type END AS name FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events WHERE event_id < 2000)")
+@query("SELECT event_id, CASE WHEN r > 1 THEN event_type || '_' || r ELSE event_type END AS name FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events)")
 def unique_roi_names(spark, sf):
-    e = V.table(spark, sf, "events").where("event_id < 2000").select("event_id", F.col("event_type").alias("name"))
+    e = V.table(spark, sf, "events").select("event_id", F.col("event_type").alias("name"))
     return T.unique_names(e, "name", "event_id")
 
 
-@query()
-def unique_roi_names_all(spark, sf):
-    """Unique names of all events; unique_roi_names is the part that its SQL covers."""
-    return T.unique_names(V.table(spark, sf, "events").select("event_id", F.col("event_type").alias("name")), "name", "event_id")
-
-
 @query("""SELECT c_custkey AS label, CASE WHEN c_custkey % 4 = 0 THEN 0 ELSE c_acctbal END AS balance FROM customer UNION ALL SELECT -c_custkey, 0 FROM customer WHERE c_custkey % 100 = 4""")
 def table_upsert(spark, sf):
     old = V.table(spark, sf, "customer").select(F.col("c_custkey").alias("label"), F.col("c_acctbal").alias("balance"))
@@ -505,17 +495,11 @@ def plate_wells(spark, sf):
 # -- graphs, detection, stitching ------------------------------------------------------------
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT c_custkey AS a, c_custkey + 1 + c_custkey % 7 AS b FROM customer WHERE c_custkey % 3 <> 0),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT c_custkey AS a, c_custkey + 1 + c_custkey % 7 AS b FROM customer),
  edges AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (SELECT a AS node, a AS seen FROM edges UNION SELECT r.node, x.b FROM reach r JOIN edges x ON x.a = r.seen)
  SELECT node, min(seen) AS component FROM reach GROUP BY node""")
 def components_min_label(spark, sf):
-    c = V.table(spark, sf, "customer").where("c_custkey % 3 <> 0")
-    return connected_components(c.select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + 1 + F.col("c_custkey") % 7).alias("b")))
-
-
-@query()
-def components_min_label_all(spark, sf):
-    """Components over the links of all customers; components_min_label is the part that its SQL covers."""
+    """Components over the links of all customers."""
     c = V.table(spark, sf, "customer")
     return connected_components(c.select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + 1 + F.col("c_custkey") % 7).alias("b")))
 
@@ -528,14 +512,18 @@ def nms_boxes(spark, sf):
     return VB.suppress(boxes, ["x", "y"], 0.5, "score", ["event_type"], CELL)
 
 
-@query(f"""WITH {V.PIXELS} SELECT y, x, CAST(max(value) AS DOUBLE) * 2 + 1 AS value FROM pixels WHERE c = 0 GROUP BY y, x
- UNION ALL SELECT CAST(y AS INTEGER), CAST(x AS INTEGER), 1.0::DOUBLE FROM range(256) a(y), range(256) b(x) WHERE (y, x) NOT IN (SELECT (y, x) FROM pixels WHERE c = 0)""")
+@query(f"""WITH {V.PIXELS} SELECT y, x, CAST(max(value) AS DOUBLE) * 2 + 1 AS value FROM pixels GROUP BY y, x
+ UNION ALL SELECT CAST(y AS INTEGER), CAST(x AS INTEGER), 1.0::DOUBLE FROM range(256) a(y), range(256) b(x) WHERE (y, x) NOT IN (SELECT (y, x) FROM pixels)""")
 def map_tiles(spark, sf):
-    """A user's function over 64 x 64 tiles with a halo of 4; missing pixels are 0."""
-    image = V.pixels(spark, sf).where("c = 0").select("y", "x", F.col("value").cast("double").alias("value"))
+    """A user's function of the largest value over all channels, over 64 x 64 tiles with a halo of 4; missing pixels are 0."""
+    image = _flat_image(spark, sf)
     return VB.map_tiles(image, _halo_tiles(spark), lambda a: a * 2 + 1, ["y", "x"]).select("y", "x", "value")
 
 
+def _flat_image(spark, sf):
+    return V.pixels(spark, sf).groupBy("y", "x").agg(F.max("value").cast("double").alias("value"))
+
+
 def _halo_tiles(spark, edge=V.EDGE, size=64, margin=4):
     tiles = TI.by_grid(spark.createDataFrame([(edge, edge)], "size_y int, size_x int"), {"y": size, "x": size})
     for a in ("y", "x"):
@@ -545,16 +533,16 @@ def _halo_tiles(spark, edge=V.EDGE, size=64, margin=4):
     return tiles.drop("tile_y", "tile_x", "size_y", "size_x", "tile_name")
 
 
-@query(f"WITH {V.PIXELS} SELECT CAST((y // 64) * 4 + x // 64 AS BIGINT) AS tile_index, 0 AS \"row\", count(*) AS n, CAST(sum(value) AS DOUBLE) AS total FROM pixels WHERE c = 0 GROUP BY 1")
+@query(f"WITH {V.PIXELS} SELECT CAST((y // 64) * 4 + x // 64 AS BIGINT) AS tile_index, 0 AS \"row\", count(*) AS n, CAST(sum(value) AS DOUBLE) AS total FROM (SELECT y, x, max(value) AS value FROM pixels GROUP BY y, x) GROUP BY 1")
 def reduce_tiles(spark, sf):
-    image = V.pixels(spark, sf).where("c = 0").select("y", "x", F.col("value").cast("double").alias("value"))
+    image = _flat_image(spark, sf)
     return VB.reduce_tiles(image, _halo_tiles(spark, margin=0), lambda a: {"n": int((a > 0).sum()), "total": float(a.sum())}, "n long, total double", ["y", "x"])
 
 
 @query()
 def detect_bright(spark, sf):
     """The brightest pixel of each tile as a box of 5 x 5, after suppression."""
-    image = V.pixels(spark, sf).where("c = 0").select("y", "x", F.col("value").cast("double").alias("value"))
+    image = _flat_image(spark, sf)
 
     def brightest(patch: np.ndarray) -> list[dict]:
         y, x = np.unravel_index(int(patch.argmax()), patch.shape)
@@ -564,13 +552,19 @@ def detect_bright(spark, sf):
     return VB.suppress(found, ["y", "x"], 0.3, "score")
 
 
-@query()
+@query(f"""WITH {V.LABELS}, first AS (SELECT label, min((y // 40) * 7 + x // 40) AS unit FROM label_grid WHERE label > 0 GROUP BY label),
+ num AS (SELECT label, row_number() OVER (ORDER BY unit, label) AS n FROM first)
+ SELECT y, x, CAST(coalesce(n, 0) AS BIGINT) AS label FROM label_grid LEFT JOIN num USING (label)""")
 def stitch_tiles(spark, sf):
     """Grid objects predicted tile by tile with a margin of 8, made one label image again."""
     tiles = TI.by_grid(spark.createDataFrame([(V.EDGE, V.EDGE)], "size_y int, size_x int"), {"y": 40, "x": 40})
     labels = V.label_grid(spark)
     near = lambda a, m: (F.col(a) >= F.col(f"tile_{a}.start") - m) & (F.col(a) < F.col(f"tile_{a}.start") + F.col(f"tile_{a}.length") + m)
-    predicted = labels.join(F.broadcast(tiles), near("y", 8) & near("x", 8))
+    boxes = tiles.select("tile_index", "tile_y", "tile_x", *[x for a in ("y", "x") for x in ((F.col(f"tile_{a}.start") - 8).alias(f"{a}_start"), (F.col(f"tile_{a}.start") + F.col(f"tile_{a}.length") + 8).alias(f"{a}_stop"))])
+    cell = lambda low, high: F.explode(F.sequence(F.floor(low / 16), F.floor(high / 16)))
+    boxes = boxes.withColumn("cy", cell(F.col("y_start"), F.col("y_stop") - 1)).withColumn("cx", cell(F.col("x_start"), F.col("x_stop") - 1))
+    marked = labels.withColumn("cy", F.floor(F.col("y") / 16)).withColumn("cx", F.floor(F.col("x") / 16))
+    predicted = marked.join(boxes, ["cy", "cx"]).where(near("y", 8) & near("x", 8))
     predicted = predicted.select(F.col("tile_index").alias("tile"), "y", "x", "label", (near("y", 0) & near("x", 0)).alias("core"))
     return stitch(predicted, ["y", "x"], 1000)
 

@@ -127,7 +127,7 @@ def test_pixels_of_every_region(spark, whole):
         at = (n % 3, o % 256, p % 256)
         pixels[at] = max(q, pixels.get(at, 0))
     want = {(i, c, y, x, v) for i, _, u in events for (c, y, x), v in pixels.items() if u <= x < u + 1 + i % 17 and i % 200 <= y < i % 200 + 1 + i % 13}
-    got = [tuple(r) for r in __spark_entry__.queries()["region_pixels_all"](spark, path).collect()]
+    got = [tuple(r) for r in __spark_entry__.queries()["region_pixels"](spark, path).collect()]
     assert set(got) == want and len(got) == len(want) and max(r[0] for r in got) >= 300
 
 
@@ -137,7 +137,7 @@ def test_unique_names_of_all_events(spark, whole):
     for i, kind, _ in sorted(events):
         seen[kind] = seen.get(kind, 0) + 1
         want[i] = kind if seen[kind] == 1 else f"{kind}_{seen[kind]}"
-    got = [tuple(r) for r in __spark_entry__.queries()["unique_roi_names_all"](spark, path).collect()]
+    got = [tuple(r) for r in __spark_entry__.queries()["unique_roi_names"](spark, path).collect()]
     assert dict(got) == want and len(got) == len(want)
     odd = spark.range(40).select(F.col("id").alias("row"), F.when(F.col("id") % 3 > 0, "a").alias("name")).repartition(3)
     named = T.unique_names(odd, "name", "row")
@@ -152,14 +152,14 @@ def test_all_pairs_links_and_pixels(spark, whole):
     over = lambda a, b, more=0: a[1] < b[2] + more and b[1] < a[2] + more and a[3] < b[4] and b[3] < a[4]
     both = [(a, b) for a in boxes for b in boxes if a[0] < b[0]]
     want = sorted((a[0], b[0], max(a[1], b[1]), min(a[2], b[2]), max(a[3], b[3]), min(a[4], b[4])) for a, b in both if over(a, b))
-    assert sorted(run("overlap_pairs_all")) == want and any(r[0] % 10 != r[1] % 10 for r in want)
+    assert sorted(run("overlap_pairs")) == want and any(r[0] % 10 != r[1] % 10 for r in want)
     want = sorted((a[0], b[0]) for a, b in both if over(a, b, 1) and not over(a, b))
-    assert sorted(run("touching_pairs_all")) == want and any(a % 10 != b % 10 for a, b in want)
+    assert sorted(run("touching_pairs")) == want and any(a % 10 != b % 10 for a, b in want)
     label = {k: k for c in range(1, 200) for k in (c, c + 1 + c % 7)}
     for _ in range(200):
         for c in range(1, 200):
             label[c] = label[c + 1 + c % 7] = min(label[c], label[c + 1 + c % 7])
-    got = run("components_min_label_all")
+    got = run("components_min_label")
     assert dict(got) == label and len(got) == len(label)
     pixels = {(y, x): v for y, x, v in run("stitch_tiles")}
     objects = {}
