@@ -7,6 +7,7 @@ Every verb returns DataFrames or a new container; nothing runs before an action.
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ from mosaiq.operators import pyramid as Y
 from mosaiq.operators import stats as ST
 from mosaiq.operators import tables as T
 from mosaiq.operators import tiling as TI
+from mosaiq.sources.files import delete, exists, read_text, write_text
 
 
 @dataclass(frozen=True)
@@ -45,8 +47,10 @@ class Image:
     def get_regions(self, regions: DataFrame) -> DataFrame:
         return P.select_regions(self.rows, regions, [a for a in self.space if a in regions.columns], self.pixel, self.shape)
 
-    def set(self, patch: DataFrame, merge: str = "overwrite", mask: DataFrame | None = None) -> Image:
-        return replace(self, rows=P.write(self.rows, patch, self.axes, merge, self.dtype, mask, self.value))
+    def set(self, patch: DataFrame, merge="overwrite", mask: DataFrame | None = None) -> Image:
+        """The image after a write; the patch's box is looked up first, and only pixels within it are joined."""
+        box = P.box_of(patch, self.axes)
+        return self if box is None else replace(self, rows=P.write(self.rows, patch, self.axes, merge, self.dtype, mask, self.value, box))
 
     def whole(self, name: str = "image") -> DataFrame:
         """The region of the whole image."""
@@ -66,6 +70,34 @@ class Image:
         return P.mask_fill(self.rows, labels.rows, labels.space, label, fill, self.value)
 
 
+@dataclass(frozen=True)
+class Masked:
+    """An image seen object by object."""
+
+    image: Image
+    labels: Image
+
+    def region(self, label: int) -> dict[str, tuple[int, int]]:
+        """The box of an object; one that isn't there is an error."""
+        found = P.box_of(self.labels.rows.where(F.col("label") == label), self.labels.axes)
+        if found is None:
+            raise KeyError(label)
+        return found
+
+    def get(self, label: int, masked: bool = False, fill: float = 0, grow: float = 1.0) -> DataFrame:
+        """The pixels of an object's box, ``grow`` times as large; with ``masked`` those outside the object are ``fill``."""
+        cut = {}
+        for a, (low, high) in self.region(label).items():
+            more = (high - low) * (grow - 1) / 2
+            cut[a] = slice(max(0, low - more), min(self.image.shape[a], high + more))
+        rows = self.image.get(**cut)
+        return P.mask_fill(rows, self.labels.rows, self.labels.axes, label, fill, self.image.value) if masked else rows
+
+    def set(self, label: int, patch: DataFrame, merge="overwrite") -> Image:
+        """The image after a patch that is written within the object only."""
+        return self.image.set(patch, merge, self.labels.rows.where(F.col("label") == label))
+
+
 @dataclass(frozen=True)
 class Container:
     levels: tuple[Image, ...]
@@ -119,12 +151,48 @@ class Container:
         image = self.labels[label]
         return L.bounding_boxes(image.rows, image.space, image.pixel)
 
+    def without_table(self, name: str, missing_ok: bool = False) -> Container:
+        if name not in self.tables and not missing_ok:
+            raise KeyError(name)
+        return replace(self, tables={k: v for k, v in self.tables.items() if k != name})
+
+    def masked_image(self, label: str | None = None, table: str | None = None, level: int = 0) -> Masked:
+        """The image by the objects of a label image, named or that of a masking table (``extra["region"]`` or ``region``), or the only one."""
+        if label is None and table is not None:
+            meta = self.tables[table][1]
+            label = meta.region or meta.extra.get("region")
+        if label is None:
+            if len(self.labels) != 1:
+                raise KeyError(f"{len(self.labels)} labels")
+            label = next(iter(self.labels))
+        return Masked(self.levels[level], self.labels[label])
+
+    def write(self, patch: DataFrame, factor: dict[str, int], merge="overwrite", how: str = "mean") -> Container:
+        """A write to the finest level; of the coarser ones only the blocks that it reaches are made again."""
+        base = self.levels[0]
+        box = P.box_of(patch, base.axes)
+        if box is None:
+            return self
+        out, region = [base.set(patch, merge)], {a: box[a] for a in base.axes if a in factor}
+        for before, level in zip(self.levels, self.levels[1:], strict=False):
+            fine = out[-1].rows
+            sizes = {a: before.shape[a] for a in factor}
+            out.append(replace(level, rows=Y.refresh(fine, level.rows, [region], factor, sizes, {}, how, level.dtype)))
+            region = {a: (low // factor[a], min(-(-high // factor[a]), sizes[a] // factor[a])) for a, (low, high) in region.items()}
+        return replace(self, levels=tuple(out))
+
     def measure(self, label: str) -> DataFrame:
         base = self.levels[0]
         return ST.measure(base.rows, self.labels[label].rows, self.labels[label].space, ["c"] if "c" in base.axes else None, base.value)
 
-    def save(self, path: str) -> None:
-        about = {"levels": [], "labels": {}, "tables": {}}
+    def save(self, path: str) -> Container:
+        """Write all parts to a folder of their own and then point ``path`` to it, so a container may be saved where it
+        was read from. What an earlier save left is deleted last; handles opened before are to be opened again.
+        """
+        spark = self.levels[0].rows.sparkSession
+        old = json.loads(read_text(spark, f"{path}/about.json"))["data"] if exists(spark, f"{path}/about.json") else None
+        top, path = path, f"{path}/data-{uuid.uuid4().hex[:12]}"
+        about = {"levels": [], "labels": {}, "tables": {}, "data": path.rpartition("/")[2]}
         for i, image in enumerate(self.levels):
             image.rows.write.mode("overwrite").parquet(f"{path}/levels/level={i}")
             about["levels"].append([image.shape, image.pixel, image.dtype, image.value])
@@ -134,12 +202,15 @@ class Container:
         for name, (table, meta) in self.tables.items():
             T.from_regions(table).write.mode("overwrite").parquet(f"{path}/tables/{name}") if meta.kind.endswith("roi_table") and "x" in table.columns else table.write.mode("overwrite").parquet(f"{path}/tables/{name}")
             about["tables"][name] = meta.kind
-        spark = self.levels[0].rows.sparkSession
-        spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+        write_text(spark, f"{top}/about.json", json.dumps(about))
+        if old:
+            delete(spark, f"{top}/{old}")
+        return open_container(spark, top)
 
 
 def open_container(spark: SparkSession, path: str) -> Container:
-    about = json.loads(spark.read.text(f"{path}/about").first()["value"])
+    about = json.loads(read_text(spark, f"{path}/about.json"))
+    path = f"{path}/{about['data']}"
     read = lambda place, held: Image(spark.read.parquet(f"{path}/{place}"), *held)
     tables = {}
     for name, kind in about["tables"].items():
@@ -159,6 +230,24 @@ def create(spark: SparkSession, array, pixel: dict[str, float], axes: str, dtype
     return Container((Image(spark.createDataFrame(rows, schema), dict(zip(axes, map(int, array.shape), strict=True)), pixel, dtype),))
 
 
+def open_image(spark: SparkSession, path: str) -> Container:
+    """A stored multiscale image with its labels, levels finest first, read chunk by chunk when asked for."""
+    from mosaiq.sources import ngff, zarr
+
+    zarr.register(spark)
+
+    def levels(place: str, value: str) -> tuple[Image, ...]:
+        meta = ngff.read_image(spark, place)
+        axes, out = "".join(a.name for a in meta.axes), []
+        for d in meta.ranked():
+            about = zarr.metadata(f"{place}/{d.path}".removeprefix("file://"))
+            rows = spark.read.format("chunked_array").option("path", f"{place}/{d.path}").option("axes", axes).load().withColumnRenamed("value", value)
+            out.append(Image(rows, dict(zip(axes, map(int, about["shape"]), strict=True)), d.pixel(), zarr.np.dtype(about["dtype"]).name, value))
+        return tuple(out)
+
+    return Container(levels(path, "value"), {n: levels(f"{path}/labels/{n}", "label")[0] for n in ngff.labels(spark, path)})
+
+
 def synthetic(spark: SparkSession, shape: dict[str, int], pixel: dict[str, float], dtype: str = "uint16") -> Container:
     """A container of one level with a pattern, made where it is stored."""
     size = 1

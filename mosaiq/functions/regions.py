@@ -126,6 +126,14 @@ def rects_meet(a: Column, b: Column) -> Column:
     return F.coalesce((a["first"] <= b["last"]) & (b["first"] <= a["last"]), F.lit(False))
 
 
+def volume(*parts: Column) -> Column:
+    """Area of a pixel from its sizes along y and x, volume with z."""
+    total = parts[0]
+    for p in parts[1:]:
+        total = total * p
+    return total
+
+
 def norm(*parts: Column) -> Column:
     """Euclidean length of a pixel size."""
     total = parts[0] * parts[0]

@@ -95,8 +95,10 @@ def mask_fill(image: DataFrame, labels: DataFrame, axes: list[str], label: int |
     return image.join(named, axes, "left").withColumn(value, F.when(F.coalesce(inside, F.lit(False)), F.col(value)).otherwise(F.lit(fill))).drop("__l").select(*image.columns)
 
 
-def merged(rule: str, old: Column, new: Column, dtype: str | None = None) -> Column:
-    """What a write leaves where a patch meets existing values."""
+def merged(rule, old: Column, new: Column, dtype: str | None = None) -> Column:
+    """What a write leaves where a patch meets existing values; a function of the two columns may be given instead of a name."""
+    if callable(rule):
+        return rule(old, new)
     if rule == "overwrite":
         return new
     if rule == "max":
@@ -111,8 +113,23 @@ def merged(rule: str, old: Column, new: Column, dtype: str | None = None) -> Col
     raise ValueError(f"unknown rule {rule}")
 
 
-def write(image: DataFrame, patch: DataFrame, axes: list[str], rule: str = "overwrite", dtype: str | None = None, mask: DataFrame | None = None, value: str = "value") -> DataFrame:
-    """The image after a patch: merged where both have pixels (within the mask), added where only the patch has."""
+def box_of(patch: DataFrame, axes: list[str]) -> dict[str, tuple[int, int]] | None:
+    """The box of a patch, None for an empty one; one row of smallest and largest coordinates is read."""
+    found = patch.agg(*[f(a).alias(f"{n}_{a}") for a in axes for n, f in (("low", F.min), ("high", F.max))]).first()
+    return None if found[f"low_{axes[0]}"] is None else {a: (found[f"low_{a}"], found[f"high_{a}"] + 1) for a in axes}
+
+
+def write(image: DataFrame, patch: DataFrame, axes: list[str], rule: str = "overwrite", dtype: str | None = None, mask: DataFrame | None = None, value: str = "value", box: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """The image after a patch: merged where both have pixels (within the mask), added where only the patch has.
+
+    With ``box``, which must hold the patch, only the pixels within it are joined; the others are passed on as they are.
+    """
+    if box is not None:
+        inside = F.lit(True)
+        for a, (low, high) in box.items():
+            inside &= (F.col(a) >= low) & (F.col(a) < high)
+        done = write(image.where(inside), patch, axes, rule, dtype, mask, value)
+        return done.unionByName(image.where(~inside).select(done.columns))
     new = patch.select(*axes, F.col(value).alias("__n"))
     if mask is not None:
         new = new.join(mask.where(F.col("label") != 0).select(*axes), axes, "left_semi")
@@ -136,6 +153,64 @@ def _targets(source: Column, factor: float, size: int) -> Column:
     return F.filter(F.sequence(low, high), lambda i: (F.floor((i + 0.5) / factor).cast("int") == source) & (i < size))
 
 
+def linear_zoom(image: DataFrame, factor: dict[str, float], sizes: dict[str, int], value: str = "value") -> DataFrame:
+    """Linear resampling along each axis: a target pixel's centre lies between two source centres, which
+    share it by distance; beyond the border, and where the image has no rows, values are 0.
+
+    Each source pixel hands weighted values to the targets around it, which are summed up per target:
+    one aggregation with partial sums, whatever the number of axes.
+    """
+    out, weight = image, F.lit(1.0)
+    for a, f in factor.items():
+        first = F.greatest(F.floor((F.col(a) - 0.5) * f - 0.5).cast("int"), F.lit(0))
+        last = F.least(F.ceil((F.col(a) + 1.5) * f - 0.5).cast("int"), F.lit(sizes[a] - 1))
+        out = out.withColumn(f"__t_{a}", F.explode(F.sequence(first, F.greatest(last, first))))
+        # a target's centre among the source's
+        near = 1 - F.abs((F.col(f"__t_{a}") + 0.5) / F.lit(float(f)) - 0.5 - F.col(a))
+        out, weight = out.where((near > 0) & (F.col(f"__t_{a}") < sizes[a])), weight * near
+    others = [c for c in image.columns if c != value and c not in factor]
+    return out.groupBy(*others, *[F.col(f"__t_{a}").alias(a) for a in factor]).agg(F.sum(F.col(value) * weight).alias(value)).select(*image.columns)
+
+
+def fit_to_shape(image: DataFrame, have: dict[str, int], want: dict[str, int], value: str = "value", unique: bool = False) -> DataFrame:
+    """The centre of the image where it is larger than asked for; where it is smaller, the image again and
+    again, every second time mirrored. With ``unique`` each repetition gets ids of its own."""
+    out = image
+    top = image.agg(F.max(value)).first()[0] if unique else None
+    for a, n in want.items():
+        m = have[a]
+        if n <= m:
+            low = (m - n) // 2
+            out = out.where(F.col(a).between(low, low + n - 1)).withColumn(a, F.col(a) - low)
+            continue
+        out = out.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(-(-n // m) - 1))))
+        out = out.withColumn(a, F.col("__k") * m + F.when(F.col("__k") % 2 == 0, F.col(a)).otherwise(m - 1 - F.col(a))).where(F.col(a) < n)
+        if unique and top:
+            out = out.withColumn(value, F.when(F.col(value) > 0, F.col(value) + F.col("__k") * top).otherwise(F.col(value)))
+            top = top * -(-n // m)
+        out = out.drop("__k")
+    return out.select(*image.columns)
+
+
+def mask_fill_scaled(image: DataFrame, labels: DataFrame, factor: dict[str, float], label: int | None, fill: float = 0, value: str = "value") -> DataFrame:
+    """As :func:`mask_fill` with labels of another resolution: a pixel takes the label under its centre (``factor`` is labels over image)."""
+    keys = {a: F.floor((F.col(a) + 0.5) * f).cast("int") for a, f in factor.items()}
+    named = labels.select(*[F.col(a).alias(f"__k_{a}") for a in factor], F.col("label").alias("__l"))
+    inside = F.col("__l") == label if label is not None else F.col("__l") != 0
+    marked = image.select("*", *[k.alias(f"__k_{a}") for a, k in keys.items()]).join(named, [f"__k_{a}" for a in factor], "left")
+    return marked.withColumn(value, F.when(F.coalesce(inside, F.lit(False)), F.col(value)).otherwise(F.lit(fill))).select(*image.columns)
+
+
+def transformed(image: DataFrame, steps: list) -> DataFrame:
+    """The image after each step, a function from DataFrame to DataFrame that keeps its columns."""
+    for step in steps:
+        out = step(image)
+        if not isinstance(out, DataFrame) or set(out.columns) != set(image.columns):
+            raise TypeError("a step returns the columns that it was given")
+        image = out.select(*image.columns)
+    return image
+
+
 def match_shape(image: DataFrame, have: dict[str, int], want: dict[str, int], tolerance: int = 1, fill: float = 0, value: str = "value") -> DataFrame:
     """Pixels trimmed or padded to another shape that differs by ``tolerance`` at most; a single pixel is spread over its axis."""
     out = image

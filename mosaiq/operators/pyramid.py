@@ -34,6 +34,35 @@ def levels_table(spark: SparkSession, image: str, base: dict[str, int], scale: d
     return spark.createDataFrame(rows, schema)
 
 
+def levels_rows(spark: SparkSession, image: str, levels: list[tuple[str, dict[str, float]]]) -> DataFrame:
+    """(image, level, path, px_<axis>...) of named levels with their scales."""
+    axes = list(levels[0][1])
+    return spark.createDataFrame([(image, i, p, *[float(s[a]) for a in axes]) for i, (p, s) in enumerate(levels)], "image string, level int, path string, " + ", ".join(f"px_{a} double" for a in axes))
+
+
+def base_scale(axes: list[str], pixel: float | tuple[float, float], z_spacing: float = 1.0, time_spacing: float = 1.0) -> dict[str, float]:
+    """The finest level's scale by axis, from one pixel size or one for y and x each."""
+    y, x = pixel if isinstance(pixel, tuple) else (pixel, pixel)
+    return {a: {"t": float(time_spacing), "z": float(z_spacing), "y": float(y), "x": float(x)}.get(a, 1.0) for a in axes}
+
+
+def adapt_scales(scales: list[dict[str, float]], base: dict[str, float]) -> list[dict[str, float]]:
+    """The scales of all levels for another pixel size of the finest."""
+    return [{a: s * base.get(a, scales[0][a]) / scales[0][a] for a, s in level.items()} for level in scales]
+
+
+def consolidation_order(shapes: dict[str, dict[str, int]], source: str) -> list[tuple[str, str]]:
+    """(from, to) of all levels but the source: always the pair of nearest shapes, of a level that is done and one that is not."""
+    done, left, out = [source], [n for n in shapes if n != source], []
+    far = lambda a, b: math.dist([math.log(max(shapes[a][k], 1)) for k in shapes[a]], [math.log(max(shapes[b][k], 1)) for k in shapes[a]])
+    while left:
+        a, b = min(((a, b) for a in done for b in left), key=lambda p: far(*p))
+        out.append((a, b))
+        done.append(b)
+        left.remove(b)
+    return out
+
+
 def cast_back(value: Column, dtype: str | None) -> Column:
     """Into the level's type; means of integers are cut toward zero."""
     return value.cast("long") if dtype in INTEGERS else value

@@ -109,3 +109,12 @@ def by_storage_units(images: DataFrame, overlap: dict[str, int] | None = None) -
 def batches(units: DataFrame, index: str, size: int) -> DataFrame:
     """``batch`` and place in it for units numbered from 0."""
     return units.withColumn("batch", F.floor(F.col(index) / size).cast("long")).withColumn("place", (F.col(index) % size).cast("long"))
+
+
+def tile_extents(tiles: DataFrame, axes: list[str], sizes: dict[str, int], margin: int = 0) -> DataFrame:
+    """What each tile writes (``<axis>_core_start/_core_stop``) and, grown by a margin within the image, reads (``<axis>_start/_stop``)."""
+    for a in axes:
+        first, stop = F.col(f"tile_{a}.start"), F.col(f"tile_{a}.start") + F.col(f"tile_{a}.length")
+        tiles = tiles.withColumn(f"{a}_core_start", first).withColumn(f"{a}_core_stop", stop)
+        tiles = tiles.withColumn(f"{a}_start", F.greatest(first - margin, F.lit(0))).withColumn(f"{a}_stop", F.least(stop + margin, F.lit(sizes[a])))
+    return tiles.drop(*[f"tile_{a}" for a in axes], *[f"size_{a}" for a in axes], "tile_name")

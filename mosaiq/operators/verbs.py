@@ -65,6 +65,57 @@ def map_tiles(image: DataFrame, tiles: DataFrame, func: Callable[[np.ndarray], n
     return pixels.groupBy(*axes).agg(F.max_by(value, key).alias(value))
 
 
+def segment(image: DataFrame, tiles: DataFrame, func: Callable[[np.ndarray], np.ndarray], axes: list[str], block: int, stitched: bool = False, threshold: float = 0.3, key: str = "tile_index", value: str = "value") -> DataFrame:
+    """(coordinates, label) from ``func``, which labels the objects of a tile's array with 1, 2, ...
+
+    Ids are moved to the tile's block of ``block`` numbers, so they are unique; more objects than that are an
+    error. With ``stitched`` the objects that a border between tiles cuts apart become one, numbered 1..N.
+    """
+    ship(image.sparkSession)
+    names = [f"{a}_{part}" for a in axes for part in ("start", "stop", "core_start", "core_stop")]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        head = rows.iloc[0]
+        first = [int(head[f"{a}_start"]) for a in axes]
+        shape = [int(head[f"{a}_stop"]) - f for a, f in zip(axes, first, strict=True)]
+        out = np.asarray(func(dense(rows.dropna(subset=axes).astype({a: int for a in axes}), axes, first, shape, value)))
+        if out.shape != tuple(shape) or (out.size and out.max() > block):
+            raise ValueError("the function returned another shape, or more objects than a block holds")
+        at = np.indices(out.shape).reshape(len(axes), -1)
+        made = pd.DataFrame({a: at[i] + first[i] for i, a in enumerate(axes)} | {"label": out.reshape(-1).astype(np.int64), "tile": head[key]})
+        made["core"] = True
+        for a in axes:
+            made["core"] &= (made[a] >= head[f"{a}_core_start"]) & (made[a] < head[f"{a}_core_stop"])
+        return made
+
+    read = _tiled(image.select(*axes, value), tiles.select(key, *names), axes, key, 256)
+    predicted = read.groupBy(key).applyInPandas(run, ", ".join(f"{a} int" for a in axes) + ", label long, tile long, core boolean")
+    if stitched:
+        from mosaiq.operators.stitch import stitch
+
+        return stitch(predicted, axes, block, threshold)
+    moved = F.when(F.col("label") > 0, F.col("label") + F.col("tile") * block).otherwise(0).cast("long")
+    return predicted.where("core").groupBy(*axes).agg(F.max_by(moved, "tile").alias("label"))
+
+
+def segment_masked(image: DataFrame, objects: DataFrame, func: Callable[[np.ndarray], np.ndarray], axes: list[str], block: int, value: str = "value") -> DataFrame:
+    """(coordinates, label) of what ``func`` finds within each object: it gets the object's box with other pixels 0,
+    and what it labels outside the object is not written. Ids are moved to the object's block."""
+    ship(image.sparkSession)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        first = [int(rows[a].min()) for a in axes]
+        shape = [int(rows[a].max()) - f + 1 for a, f in zip(axes, first, strict=True)]
+        found = np.asarray(func(dense(rows.fillna({value: 0}), axes, first, shape, value)))
+        if found.shape != tuple(shape) or (found.size and found.max() > block):
+            raise ValueError("the function returned another shape, or more objects than a block holds")
+        own = found[tuple(rows[a].to_numpy() - f for a, f in zip(axes, first, strict=True))].astype(np.int64)
+        return pd.DataFrame({a: rows[a] for a in axes} | {"label": np.where(own > 0, own + rows["__object"].iloc[0] * block, 0)})
+
+    read = objects.where("label <> 0").select(*axes, F.col("label").alias("__object")).join(image.select(*axes, value), axes, "left")
+    return read.groupBy("__object").applyInPandas(run, ", ".join(f"{a} int" for a in axes) + ", label long")
+
+
 def reduce_tiles(image: DataFrame, tiles: DataFrame, func: Callable[[np.ndarray], dict | list[dict]], schema: str, axes: list[str], key: str = "tile_index", value: str = "value", cell: int = 256) -> DataFrame:
     """One or more rows of ``schema`` per tile from ``func`` of its array, with the tile's key and a row number."""
     ship(image.sparkSession)

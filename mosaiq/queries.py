@@ -373,6 +373,54 @@ def channel_percentiles(spark, sf):
     return ST.percentiles(V.pixels(spark, sf), [1, 50, 99])
 
 
+@query(f"""WITH {V.PIXELS}, w(d, k) AS (VALUES (-1, 0.25::DOUBLE), (0, 0.75::DOUBLE), (1, 0.75::DOUBLE), (2, 0.25::DOUBLE))
+ SELECT c, CAST(2 * y + a.d AS INTEGER) AS y, CAST(2 * x + b.d AS INTEGER) AS x, round(sum(value * a.k * b.k), 6) AS value FROM pixels, w a, w b
+ WHERE 2 * y + a.d BETWEEN 0 AND 511 AND 2 * x + b.d BETWEEN 0 AND 511 GROUP BY 1, 2, 3""")
+def zoom_linear_up(spark, sf):
+    return P.linear_zoom(V.pixels(spark, sf), {"y": 2.0, "x": 2.0}, {"y": 512, "x": 512}).withColumn("value", F.round("value", 6))
+
+
+@query(f"""WITH {V.PIXELS}, k AS (SELECT 1)
+ SELECT c, CAST(y // 2 AS INTEGER) AS y, CAST(x // 2 AS INTEGER) AS x, round(sum(value) * 0.25::DOUBLE, 6) AS value FROM pixels GROUP BY 1, 2, 3""")
+def zoom_linear_down(spark, sf):
+    """Halving: a target's centre lies between two source pixels of each axis, which count half each."""
+    return P.linear_zoom(V.pixels(spark, sf), {"y": 0.5, "x": 0.5}, {"y": 128, "x": 128}).withColumn("value", F.round("value", 6))
+
+
+@query(f"""WITH {V.PIXELS}, {V.LABELS} SELECT p.c, p.y, p.x, CASE WHEN l.label <> 0 THEN value ELSE 0 END AS value FROM pixels p JOIN label_grid l ON l.y = p.y // 2 AND l.x = p.x // 2""")
+def mask_other_scale(spark, sf):
+    """Labels of half the resolution as the mask."""
+    return P.mask_fill_scaled(V.pixels(spark, sf), V.label_grid(spark), {"y": 0.5, "x": 0.5}, None)
+
+
+@query(f"""WITH {V.PIXELS} SELECT c, CAST(k * 256 + CASE WHEN k % 2 = 0 THEN y ELSE 255 - y END AS INTEGER) AS y, CAST(x - 78 AS INTEGER) AS x, value FROM pixels, range(3) r(k)
+ WHERE k * 256 + CASE WHEN k % 2 = 0 THEN y ELSE 255 - y END < 600 AND x BETWEEN 78 AND 177""")
+def fit_mirrored(spark, sf):
+    """The centre along x, mirrored repetitions along y."""
+    return P.fit_to_shape(V.pixels(spark, sf), {"y": 256, "x": 256}, {"y": 600, "x": 100}).select("c", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "value")
+
+
+@query(f"""WITH {V.LABELS} SELECT CAST(k * 256 + CASE WHEN k % 2 = 0 THEN y ELSE 255 - y END AS INTEGER) AS y, x, CAST(CASE WHEN label > 0 THEN label + k * 256 ELSE 0 END AS BIGINT) AS label
+ FROM label_grid, range(2) r(k) WHERE k * 256 + CASE WHEN k % 2 = 0 THEN y ELSE 255 - y END < 400""")
+def fit_mirrored_labels(spark, sf):
+    """Repetitions of a label image have ids of their own."""
+    out = P.fit_to_shape(V.label_grid(spark), {"y": 256, "x": 256}, {"y": 400, "x": 256}, "label", unique=True)
+    return out.select(F.col("y").cast("int").alias("y"), "x", "label")
+
+
+@query(_write_sql("greatest(i.value, p.value) - least(i.value, p.value)"))
+def merge_custom(spark, sf):
+    """A write with a rule of the user: the difference of both values."""
+    return _write(spark, sf, lambda old, new: F.abs(new - old))
+
+
+@query(f"WITH {V.PIXELS} SELECT c, y, x, CAST((value * 2 + 1) % 17 AS BIGINT) AS value FROM pixels WHERE (value * 2 + 1) % 17 <> 3")
+def transform_chain(spark, sf):
+    """Steps of the user between reading and writing."""
+    steps = [lambda d: d.withColumn("value", F.col("value") * 2 + 1), lambda d: d.withColumn("value", (F.col("value") % 17).cast("long")), lambda d: d.where("value <> 3")]
+    return P.transformed(V.pixels(spark, sf), steps)
+
+
 # -- pyramid ---------------------------------------------------------------------------------
 
 
@@ -526,11 +574,31 @@ def _flat_image(spark, sf):
 
 def _halo_tiles(spark, edge=V.EDGE, size=64, margin=4):
     tiles = TI.by_grid(spark.createDataFrame([(edge, edge)], "size_y int, size_x int"), {"y": size, "x": size})
-    for a in ("y", "x"):
-        first, stop = F.col(f"tile_{a}.start"), F.col(f"tile_{a}.start") + F.col(f"tile_{a}.length")
-        h = R.halo(first, stop, margin, F.lit(edge))
-        tiles = tiles.withColumn(f"{a}_core_start", first).withColumn(f"{a}_core_stop", stop).withColumn(f"{a}_start", h["first"]).withColumn(f"{a}_stop", h["stop"])
-    return tiles.drop("tile_y", "tile_x", "size_y", "size_x", "tile_name")
+    return TI.tile_extents(tiles, ["y", "x"], {"y": edge, "x": edge}, margin)
+
+
+_FLAT = "flat AS (SELECT y, x, max(value) AS value FROM pixels GROUP BY y, x), every AS (SELECT CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x FROM range(256) a(y), range(256) b(x))"
+
+
+@query(f"""WITH {V.PIXELS}, {_FLAT} SELECT e.y, e.x, CAST(CASE WHEN f.value > 25 THEN (e.y // 64) * 4 + e.x // 64 + 1 ELSE 0 END AS BIGINT) AS label
+ FROM every e LEFT JOIN flat f ON e.y = f.y AND e.x = f.x""")
+def segment_tiles(spark, sf):
+    """A user's segmentation per tile; its ids are made unique by tile."""
+    return VB.segment(_flat_image(spark, sf), _halo_tiles(spark), lambda a: (a > 25).astype(int), ["y", "x"], 1)
+
+
+@query(f"""WITH {V.PIXELS}, {_FLAT}, {V.LABELS} SELECT l.y, l.x, CAST(CASE WHEN f.value > 25 THEN l.label * 10 + 1 ELSE 0 END AS BIGINT) AS label
+ FROM label_grid l LEFT JOIN flat f ON l.y = f.y AND l.x = f.x WHERE l.label <> 0""")
+def segment_objects(spark, sf):
+    """A user's segmentation within each object."""
+    return VB.segment_masked(_flat_image(spark, sf), V.label_grid(spark), lambda a: (a > 25).astype(int), ["y", "x"], 10)
+
+
+@query(f"""WITH {V.PIXELS}, tiles AS (SELECT (y0 // 64) * 4 + x0 // 64 AS tile_index, y0, x0 FROM range(0, 256, 64) a(y0), range(0, 256, 64) b(x0))
+ SELECT CAST(tile_index AS BIGINT) AS tile_index, CAST(y0 AS INTEGER) AS y_core_start, CAST(y0 + 64 AS INTEGER) AS y_core_stop, CAST(greatest(y0 - 8, 0) AS INTEGER) AS y_start, CAST(least(y0 + 72, 256) AS INTEGER) AS y_stop,
+ CAST(x0 AS INTEGER) AS x_core_start, CAST(x0 + 64 AS INTEGER) AS x_core_stop, CAST(greatest(x0 - 8, 0) AS INTEGER) AS x_start, CAST(least(x0 + 72, 256) AS INTEGER) AS x_stop FROM tiles""")
+def tile_extents(spark, sf):
+    return _halo_tiles(spark, margin=8)
 
 
 @query(f"WITH {V.PIXELS} SELECT CAST((y // 64) * 4 + x // 64 AS BIGINT) AS tile_index, 0 AS \"row\", count(*) AS n, CAST(sum(value) AS DOUBLE) AS total FROM (SELECT y, x, max(value) AS value FROM pixels GROUP BY y, x) GROUP BY 1")
