@@ -240,7 +240,7 @@ def open_image(spark: SparkSession, path: str) -> Container:
         meta = ngff.read_image(spark, place)
         axes, out = "".join(a.name for a in meta.axes), []
         for d in meta.ranked():
-            about = zarr.metadata(f"{place}/{d.path}".removeprefix("file://"))
+            about = zarr.metadata(f"{place}/{d.path}")
             rows = spark.read.format("chunked_array").option("path", f"{place}/{d.path}").option("axes", axes).load().withColumnRenamed("value", value)
             out.append(Image(rows, dict(zip(axes, map(int, about["shape"]), strict=True)), d.pixel(), zarr.np.dtype(about["dtype"]).name, value))
         return tuple(out)

@@ -1,9 +1,12 @@
 """Metadata of stored images and plates, containers on disk, and operators on other resolutions."""
 
 import json
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from mosaiq import container as C
@@ -104,6 +107,77 @@ def test_open_stored_image(spark, tmp_path):
         view.get(77)
 
 
+def _blosc(data, width, inner, block, shuffle=True):
+    """A blosc frame as its format description has it, made by hand."""
+    out, starts, kind = b"", [], {"lz4": 1, "zlib": 3, "zstd": 4}[inner]
+    pack = {"lz4": lambda b: pa.Codec("lz4_raw").compress(b, asbytes=True), "zlib": zlib.compress, "zstd": zstandard.compress}[inner]
+    head = 16 + 4 * -(-len(data) // block)
+    for i in range(0, len(data), block):
+        part = data[i : i + block]
+        if shuffle:
+            part = np.frombuffer(part, np.uint8).reshape(-1, width).T.tobytes()
+        split = width if len(part) == block and block // width >= 128 and inner == "lz4" else 1
+        starts.append(head + len(out))
+        for k in range(split):
+            body = part[k * len(part) // split : (k + 1) * len(part) // split]
+            small = pack(body)
+            small = small if len(small) < len(body) else body
+            out += len(small).to_bytes(4, "little") + small
+    flags = int(shuffle) | kind << 5 | (0 if inner == "lz4" else 16)
+    sizes = b"".join(n.to_bytes(4, "little") for n in (len(data), block, head + len(out)))
+    return bytes([2, 1, flags, width]) + sizes + b"".join(n.to_bytes(4, "little") for n in starts) + out
+
+
+@pytest.mark.parametrize("inner", ["lz4", "zlib", "zstd"])
+def test_blosc_chunks(spark, tmp_path, inner):
+    rng = np.random.default_rng(2)
+    array = rng.integers(0, 300, (40, 50)).astype("<u2")
+    for shuffle in (True, False):
+        assert Z.unblosc(_blosc(array.tobytes(), 2, inner, 1024, shuffle)) == array.tobytes()
+    Z.write_array(str(tmp_path / "a"), array, [40, 25], None)
+    about = json.loads((tmp_path / "a/.zarray").read_text())
+    (tmp_path / "a/.zarray").write_text(json.dumps(about | {"compressor": {"id": "blosc", "cname": inner}}))
+    for i in range(2):
+        (tmp_path / f"a/0.{i}").write_bytes(_blosc(np.ascontiguousarray(array[:, 25 * i : 25 * i + 25]).tobytes(), 2, inner, 512))
+    Z.register(spark)
+    assert back(spark.read.format("chunked_array").load(str(tmp_path / "a")), (40, 50)).tolist() == array.tolist()
+
+
+def test_shards(spark, tmp_path):
+    array = np.arange(8 * 8, dtype="<u2").reshape(8, 8)
+    inner, places, body = [(0, 0), (0, 2), (2, 0), (2, 2)], [], b""
+    for y, x in inner:
+        if (y, x) == (2, 0):
+            places += [2**64 - 1] * 2
+            continue
+        data = zstandard.compress(np.ascontiguousarray(array[y : y + 2, x : x + 2]).tobytes())
+        places += [len(body), len(data)]
+        body += data
+    path = tmp_path / "s"
+    (path / "c/0").mkdir(parents=True)
+    (path / "c/0/0").write_bytes(body + np.asarray(places, "<u8").tobytes() + b"crc.")
+    codecs = [{"name": "bytes", "configuration": {"endian": "little"}}, {"name": "zstd"}]
+    shard = {"name": "sharding_indexed", "configuration": {"chunk_shape": [2, 2], "codecs": codecs, "index_codecs": [codecs[0], {"name": "crc32c"}]}}
+    about = {"zarr_format": 3, "shape": [8, 8], "data_type": "uint16", "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": [4, 4]}}, "chunk_key_encoding": {"name": "default"}, "codecs": [shard], "fill_value": 9}
+    (path / "zarr.json").write_text(json.dumps(about))
+    Z.register(spark)
+    want = array[:4, :4].copy()
+    want[2:4, 0:2] = 9
+    assert back(spark.read.format("chunked_array").load(str(path)), (8, 8))[:4, :4].tolist() == want.tolist()
+    assert spark.read.format("chunked_array").option("fill", "true").load(str(path)).count() == 64
+
+
+def test_images_are_stored_by_executors(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(Z, "PARTITION_BYTES", 64)
+    array = np.random.default_rng(3).integers(0, 1000, (9, 11))
+    array[:4, :4] = 0
+    path = str(tmp_path / "w")
+    many = Z.write_image(image(spark, array).where("value <> 0").repartition(5), path, {"y": 9, "x": 11}, {"y": 4, "x": 4})
+    assert many == 8 and back(spark.read.format("chunked_array").load(path), (9, 11)).tolist() == array.tolist()
+    assert Z.write_image(image(spark, array).limit(0), path + "0", {"y": 9, "x": 11}, {"y": 4, "x": 4}) == 0
+    assert spark.read.format("chunked_array").load(path + "0").count() == 0
+
+
 def test_container_writes(spark, tmp_path):
     rng = np.random.default_rng(0)
     pixels = rng.integers(0, 200, (16, 16))
