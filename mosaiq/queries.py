@@ -485,12 +485,13 @@ def concat_tables_lazy(spark, sf):
     return T.concat_catalog(_customers(spark, sf).drop("acquisition"), ["row", "column", "path_in_well"], "index")
 
 
-@query(_CUST + """ SELECT label, balance, CASE WHEN acquisition = 0 THEN segment END AS segment, CASE WHEN acquisition = 0 THEN '0' ELSE '1' END AS acq, (CASE WHEN acquisition = 0 THEN '0' ELSE '1' END) || '_' || label AS "index" FROM t WHERE acquisition IN (0, 1)""")
+@query(_CUST + """ SELECT label, balance, CASE WHEN acquisition = 0 THEN segment END AS segment, CAST(acquisition AS VARCHAR) AS acq, CAST(acquisition AS VARCHAR) || '_' || label AS "index" FROM t""")
 def concat_tables_eager(spark, sf):
+    """The tables of three acquisitions, the first with a column more."""
     t = _customers(spark, sf)
     first = t.where("acquisition = 0").select("label", "balance", "segment")
-    second = t.where("acquisition = 1").select("label", "balance")
-    return T.concat([(first, {"acq": "0"}), (second, {"acq": "1"})], "index", lazy=False)
+    others = [(t.where(f"acquisition = {a}").select("label", "balance"), {"acq": str(a)}) for a in (1, 2)]
+    return T.concat([(first, {"acq": "0"}), *others], "index", lazy=False)
 
 
 _CAT = "cat AS (SELECT DISTINCT c_nationkey AS image, c_mktsegment AS name, CASE WHEN c_mktsegment < 'C' THEN 'roi_table' ELSE 'feature_table' END AS kind FROM customer WHERE c_acctbal > 6000)"
