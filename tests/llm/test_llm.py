@@ -190,48 +190,81 @@ def test_packing_of_other_ids_and_long_texts(spark, monkeypatch):
     assert {int(r.doc_id) for r in got} == set(range(6)) and len({(r.sequence_id, r.offset) for r in got}) == len(got)
 
 
-def test_language_model(spark, docs, rows, monkeypatch):
-    monkeypatch.setattr(LM, "RANGE_TOKENS", 2000)  # more ranges of pairs than of words
+@pytest.mark.parametrize("order", [2, 3])
+def test_language_model(spark, docs, rows, monkeypatch, order):
+    monkeypatch.setattr(LM, "RANGE_TOKENS", 2000)  # more ranges of pairs and triples than of words
+    monkeypatch.setattr(LM, "RANGE_TRIPLES", 2000)
     held = F.coalesce(F.col("doc_id") % 3 == 2, F.lit(False))
-    model = LM.train(docs.where(~held), "text", 5)
+    model = LM.train(docs.where(~held), "text", 5, order)
     got = LM.score(docs, model, held_out=held).collect()
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     toks = [[*words((t or "").translate(lower)), None] for _, t, *_ in rows]
     train = [x for x, r in zip(toks, rows, strict=True) if not (r[0] is not None and r[0] % 3 == 2)]
     uni = Counter(w for x in train for w in x)
     n, v = sum(uni.values()), len(uni)
-    pair = Counter(p for x in train for p in zip(["", *x[:-1]], x))  # "" begins a text
-    follow, after = Counter(b for _, b in pair), {}
-    for (a, _), c in pair.items():
-        after.setdefault(a, []).append(c)
-    cc = Counter(pair.values())
-    disc = LM.discounts(np.asarray([0, *(cc[i] for i in (1, 2, 3, 4))]))
-    fc = Counter(follow.values())
-    low = LM.discounts(np.asarray([0, *(fc[i] for i in (1, 2, 3, 4))]))
-    total = sum(follow.values())
-    floor = sum(low[min(c, 3)] for c in follow.values()) / total / (v + 1)
-
-    def p(a, b):
-        lower_p = max(follow[b] - low[min(follow[b], 3)], 0) / total + floor
-        if a not in after:
-            return lower_p
-        c = sum(after[a])
-        return max(pair[a, b] - disc[min(pair[a, b], 3)], 0) / c + sum(disc[min(x, 3)] for x in after[a]) / c * lower_p
+
+    def grams_of(x):
+        padded = [""] * (order - 1) + x  # "" begins a text
+        return [tuple(padded[i : i + order]) for i in range(len(x))]
+
+    level = {order: Counter(g for x in train for g in grams_of(x))}
+    for k in range(order - 1, 0, -1):
+        level[k] = Counter(g[1:] for g in level[k + 1])
+    times = {k: Counter(c.values()) for k, c in level.items()}
+    disc = {k: LM.discounts(np.asarray([0, *(c[i] for i in (1, 2, 3, 4))])) for k, c in times.items()}
+    after = {}
+    for k, c in level.items():
+        for g, x in c.items():
+            after.setdefault((k, g[:-1]), []).append(x)
+
+    def p(*gram):
+        k = len(gram)
+        shorter = p(*gram[1:]) if k > 1 else 1 / (v + 1)
+        if (k, gram[:-1]) not in after:
+            return shorter
+        some, d = after[k, gram[:-1]], disc[k]
+        c = level[k][gram]
+        return max(c - d[min(c, 3)], 0) / sum(some) + sum(d[min(x, 3)] for x in some) / sum(some) * shorter
 
     want = {}
     for x, (_, t, *_) in zip(toks, rows, strict=True):
         base = sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in x)
-        want[t] = (len(x), sum(uni[w] > 0 for w in x), base, sum(math.log10(p(a, b)) for a, b in zip(["", *x[:-1]], x)))
+        want[t] = (len(x), sum(uni[w] > 0 for w in x), base, sum(math.log10(p(*g)) for g in grams_of(x)))
     texts = {i: t for i, t, *_ in rows}
     assert len(got) == len(rows) and all(r.train_tokens == n for r in got)
     for r in got:
         w = want[texts[r.doc_id]]
         assert (r.n_tokens, r.n_known) == w[:2] and r.base_score == pytest.approx(w[2]) and r.score == pytest.approx(w[3])
-    assert sum(p("w1", w) for w in uni) + p("w1", "unseen") == pytest.approx(1)
-    empty = LM.train(docs.limit(0), "text", 2)
+    assert max(level[order].values()) > 255  # more than a byte holds
+    for context in ([""] * (order - 1), ["w1", "w2"][-order + 1 :], ["long"] * (order - 1)):
+        assert sum(p(*context, w) for w in uni) + p(*context, "unseen") == pytest.approx(1)
+    empty = LM.train(docs.limit(0), "text", 2, order)
     assert {round(r.score, 6) for r in LM.score(docs.where("doc_id = 10"), empty).collect()} == {0.0}
+    with pytest.raises(ValueError, match="order"):
+        LM.train(docs, "text", 2, 4)
+
+
+def test_language_model_parts():
     x = np.arange(1000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    assert (LM.unmix(LM.mix(x)) == x).all()
+    for width in (8, 13, 22, 31, 32):
+        some = np.unique(x & np.uint64(2 ** (2 * width) - 1))
+        mixed = LM.mix(some, width)
+        assert (LM.unmix(mixed, width) == some).all() and (mixed <= np.uint64(2 ** (2 * width) - 1)).all()
+        parts = LM.part_of(np.sort(mixed), 7, width)
+        assert (np.diff(parts.astype(int)) >= 0).all() and set(parts.tolist()) == set(range(7))
+    rng = np.random.default_rng(3)
+    values = np.concatenate([np.sort(rng.choice(50, n, replace=False)) for n in (0, 1, 30, 2, 50)])
+    ends = np.cumsum([0, 1, 30, 2, 50])
+    lo, hi = np.repeat(ends - [0, 1, 30, 2, 50], 60), np.repeat(ends, 60)
+    asked = np.tile(np.arange(-5, 55), 5)
+    want = [next((i for i in range(a, b) if values[i] == q), -1) for a, b, q in zip(lo, hi, asked, strict=True)]
+    assert LM.within(values, lo, hi, asked).tolist() == want
+    keys, left, counts = rng.integers(0, 9, 400).astype(np.uint64), rng.integers(0, 9, 400).astype(np.uint32), rng.integers(0, 3, 400)
+    want = Counter()
+    for k, w, c in zip(keys.tolist(), left.tolist(), counts.tolist(), strict=True):
+        want[k, w] += c
+    k, w, c = LM.summed_triples(keys, left, counts)
+    assert list(zip(zip(k.tolist(), w.tolist()), c.tolist())) == sorted(want.items())
 
 
 def test_near_duplicates(docs, rows):
