@@ -1,15 +1,17 @@
 """Near-duplicate vectors by PCA-ordered tiled comparison.
 
 Vectors are normalised and rotated to their principal axes, so that the first coordinates carry most
-of a product. They are grouped into tiles of bounded size that are close in these coordinates. Two
-tiles are compared unless their boxes are too far apart. Within a pair of tiles, products of the
+of a product. They are grouped into tiles of bounded size that are close in these coordinates, which
+lie as arrays in the shared folder. Neighbouring tiles form blocks, and a task reads two blocks and
+compares their tiles, unless the boxes of blocks or tiles are too far apart. So vectors are read about
+as often as the root of the number of tasks, and none crosses a shuffle to be compared. Within a pair of tiles, products of the
 leading coordinates are taken first; a pair of vectors whose leading product plus the product of the
 norms of what is left cannot reach the threshold is given up, the others accumulate further blocks
 of coordinates. Those that remain are decided by the cosine of the given vectors in double precision.
 
 Equal vectors are compared once and counted by their number. A pair of tiles reports for each vector
 how many others it links to, and one link to its root within the two tiles, never all pairs; the
-roots are joined by connected components. No task holds more than two tiles.
+roots are joined by connected components. No task holds more than the tiles of two blocks.
 
 Defined cases: a vector that is null, empty or zero, or has null or non-finite components, links with
 nothing, and so does a row without an id (its component is null, it is not kept). Vectors of unequal
@@ -19,6 +21,7 @@ empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,14 +30,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaiq.llm.common import table
+from mosaiq.llm.store import Store
 from mosaiq.plans.graph import connected_components
-from mosaiq.plans.scratch import materialise
+from mosaiq.plans.scratch import fresh_path, materialise
 
 THRESHOLD, TILE, STRIP = 0.95, 4096, 512
 #: The rotation is fitted to at most this many rows and numbers; it decides the order of work only, never a result.
 SAMPLE_ROWS, SAMPLE_NUMBERS = 20_000, 4_000_000
 #: Coordinates of the first product and of the boxes; the next blocks double.
 LEAD = 16
+#: Bytes that the tiles of two blocks may take in a task.
+BLOCK_BYTES = 256 << 20
 #: Slack for rounding in the bounds.
 EPS = 1e-9
 
@@ -96,16 +102,30 @@ def _roots(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
             return label
 
 
-def compare(x: np.ndarray, y: np.ndarray, sizes_x: np.ndarray, sizes_y: np.ndarray, axes: np.ndarray, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Strips of links (i, j) between the rows of two tiles; i < j where they are the same tile."""
-    norm_x, norm_y = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
-    a, b = (x / norm_x[:, None]) @ axes, (y / norm_y[:, None]) @ axes
-    width = a.shape[1]
+def stops_of(width: int) -> list[int]:
+    """Where the blocks of coordinates end."""
     stops = [min(LEAD, width)]
     while stops[-1] < width:
         stops.append(min(2 * stops[-1], width))
-    rest = lambda m, k: np.sqrt(np.maximum(1 - (m[:, :k] ** 2).sum(1), 0))
-    rest_a, rest_b = [rest(a, k) for k in stops], [rest(b, k) for k in stops]
+    return stops
+
+
+def left_over(m: np.ndarray, k: int) -> np.ndarray:
+    """Norms of unit rows without their first k coordinates."""
+    return np.sqrt(np.maximum(1 - (m[:, :k] ** 2).sum(1), 0))
+
+
+def prepared(x: np.ndarray, axes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(rows, norms, rows normalised and rotated, what is left of their norms after each block of coordinates)."""
+    norm = np.linalg.norm(x, axis=1)
+    a = (x / norm[:, None]) @ axes
+    return x, norm, a, [left_over(a, k) for k in stops_of(a.shape[1])]
+
+
+def compare(one: tuple, other: tuple, sizes_x: np.ndarray, sizes_y: np.ndarray, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Strips of links (i, j) between the rows of two prepared tiles; i < j where they are the same tile."""
+    (x, norm_x, a, rest_a), (y, norm_y, b, rest_b) = one, other
+    stops = stops_of(a.shape[1])
     # the norm of what is left as one more coordinate: the bound is then a single product
     lead_b = np.column_stack([b[:, : stops[0]], rest_b[0]]).T
     for top in range(0, len(a), STRIP):
@@ -162,60 +182,88 @@ def links(classes: DataFrame, threshold: float, tile: int) -> tuple[DataFrame, D
     per_leaf = placed.groupBy("leaf").agg(F.count("*").alias("rows"))
     dealt = placed.join(per_leaf, "leaf").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("rows") / tile)).cast("long"))
 
+    uri = fresh_path(spark, "tiles")
+
     def bundle(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         m, sizes = _matrix(group["v"].chunk(0), width)
         point = (m / np.linalg.norm(m, axis=1, keepdims=True)) @ axes[:, :lead]
+        point = np.column_stack([point, left_over(point, lead)])  # distances are never less than with the norm of what is left as one more coordinate
+        name, kept = f"{group['leaf'][0]}-{group['part'][0]}", _narrow(m)
+        for what, values in (("rows", kept), ("nodes", group["node"].to_numpy()), ("many", group["many"].to_numpy()), ("sizes", sizes.astype(np.int64))):
+            Store(uri).write(f"{what}-{name}", values)
         return pa.table({
-            "leaf": group["leaf"].slice(0, 1), "part": group["part"].slice(0, 1), "nodes": pa.array([group["node"].to_numpy().tobytes()], pa.binary()),
-            "many": pa.array([group["many"].to_numpy().tobytes()], pa.binary()), "sizes": pa.array([sizes.astype(np.int64).tobytes()], pa.binary()),
-            "rows": pa.array([_narrow(m).tobytes()], pa.binary()), "wide": pa.array([_narrow(m).dtype == np.float64]),
+            "leaf": group["leaf"].slice(0, 1), "part": group["part"].slice(0, 1), "rows": pa.array([len(m)], pa.int64()), "wide": pa.array([kept.dtype == np.float64]),
             "low": pa.array([point.min(0).tolist()]), "high": pa.array([point.max(0).tolist()]),
         })
 
-    shape = "leaf long, part long, nodes binary, many binary, sizes binary, rows binary, wide boolean, low array<double>, high array<double>"
-    tiles = dealt.groupBy("leaf", "part").applyInArrow(bundle, shape).withColumn("tile", F.concat_ws("-", "leaf", "part"))
-    tiles = materialise(tiles, "tiles")
-    boxes = sorted((r["tile"], r["low"], r["high"]) for r in tiles.select("tile", "low", "high").collect())  # one box per TILE rows
-    names = [n for n, _, _ in boxes]
-    low, high = np.asarray([b[1] for b in boxes]), np.asarray([b[2] for b in boxes])
-    pairs = []
-    for k in range(len(names)):
-        apart = np.maximum(np.maximum(low[k:] - high[k], low[k] - high[k:]), 0)
-        pairs += [(names[k], names[k + d]) for d in np.flatnonzero((apart**2).sum(1) <= 2 - 2 * threshold + EPS)]
-    wanted = spark.createDataFrame([(f"{p}|{q}", p, q, s) for p, q in pairs for s in {p, q}], "pair string, p string, q string, tile string")
-
-    def meet(group: pa.Table) -> pa.Table:
-        row = {r["tile"]: r for r in group.to_pylist()}
-        first = group["p"][0].as_py(), group["q"][0].as_py()
-        (x, n_x, m_x, s_x), (y, n_y, m_y, s_y) = (_open(row[name], width) for name in first)
-        same = first[0] == first[1]
-        found = np.zeros(len(x) + (0 if same else len(y)), np.int64)
-        shift = 0 if same else len(x)
-        root = np.arange(len(found))
-        for i, j in compare(x, y, s_x, s_y, axes, threshold, same):
-            if len(i):
-                found += np.bincount(i, m_y[j], len(found)).astype(np.int64) + np.bincount(j + shift, m_x[i], len(found)).astype(np.int64)
-                every = np.arange(len(found))
-                root = _roots(np.concatenate([every, i]), np.concatenate([root, j + shift]), len(found))
-        nodes = n_x if same else np.concatenate([n_x, n_y])
-        hit = np.flatnonzero(found)
-        return pa.table({"node": nodes[hit], "n_links": found[hit], "root": nodes[root[hit]]})
-
-    met = wanted.join(tiles.drop("low", "high", "leaf", "part"), "tile").groupBy("pair").applyInArrow(meet, "node long, n_links long, root long")
+    written = dealt.groupBy("leaf", "part").applyInArrow(bundle, "leaf long, part long, rows long, wide boolean, low array<double>, high array<double>")
+    tiles = sorted(tuple(r) for r in written.collect())  # one row for each tile
+    meta = np.asarray([t[:4] for t in tiles], np.int64)
+    corners = np.asarray([t[4:] for t in tiles])
+    Store(uri).write("meta", meta)
+    Store(uri).write("corners", corners)
+    count, partitions = len(tiles), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # blocks small enough for several pairs of them a task slot, and for a task's memory
+    side = max(1, min(BLOCK_BYTES // (4 * 8 * tile * width), math.ceil(count / math.sqrt(8 * partitions))))
+    n_blocks = -(-count // side)
+    n_pairs = n_blocks * (n_blocks + 1) // 2
+
+    def meet(batches):
+        store = Store(uri)
+        meta = store.array("meta", np.int64, count * 4).reshape(count, 4)
+        corners = store.array("corners", np.float64, count * 2 * (lead + 1)).reshape(count, 2, lead + 1)
+        for batch in batches:
+            for number in batch.column(0).to_pylist():
+                later = (math.isqrt(8 * number + 1) - 1) // 2
+                blocks = [range(k * side, min((k + 1) * side, count)) for k in (number - later * (later + 1) // 2, later)]
+                low, high = ([f(corners[b.start : b.stop, c], 0) for b in blocks] for c, f in enumerate((np.min, np.max)))
+                if not _near(low[0], high[0], low[1:], high[1:], threshold)[0]:
+                    continue
+                opened: dict[int, tuple] = {}
+
+                def tile_of(t):
+                    if t not in opened:
+                        x, *others = _open(store, meta[t], width)
+                        opened[t] = prepared(x, axes), *others
+                    return opened[t]
+
+                for p in blocks[0]:
+                    others = np.arange(max(p, blocks[1].start), blocks[1].stop)
+                    for q in others[_near(*corners[p], corners[others, 0], corners[others, 1], threshold)].tolist():
+                        (x, n_x, m_x, s_x), (y, n_y, m_y, s_y) = tile_of(p), tile_of(q)
+                        same, nodes = p == q, n_x if p == q else np.concatenate([n_x, n_y])
+                        found, root, shift = np.zeros(len(nodes), np.int64), np.arange(len(nodes)), 0 if same else len(n_x)
+                        for i, j in compare(x, y, s_x, s_y, threshold, same):
+                            if len(i):
+                                found += np.bincount(i, m_y[j], len(found)).astype(np.int64) + np.bincount(j + shift, m_x[i], len(found)).astype(np.int64)
+                                every = np.arange(len(found))
+                                root = _roots(np.concatenate([every, i]), np.concatenate([root, j + shift]), len(found))
+                        hit = np.flatnonzero(found)
+                        yield pa.RecordBatch.from_arrays([pa.array(nodes[hit]), pa.array(found[hit]), pa.array(nodes[root[hit]])], names=["node", "n_links", "root"])
+
+    met = spark.range(0, n_pairs, 1, min(n_pairs, 32 * partitions)).mapInArrow(meet, "node long, n_links long, root long")
     met = materialise(met, "tiles-links")
     return met.groupBy("node").agg(F.sum("n_links").alias("n_links")), met.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct()
 
 
+def _near(low: np.ndarray, high: np.ndarray, lows: np.ndarray, highs: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether vectors within the box can reach the threshold with vectors within each of the other boxes."""
+    apart = np.maximum(np.maximum(np.asarray(lows) - high, low - np.asarray(highs)), 0)
+    return (apart**2).sum(1) <= 2 - 2 * threshold + EPS
+
+
 def _narrow(m: np.ndarray) -> np.ndarray:
     """Single precision where that holds the very same numbers."""
     single = m.astype(np.float32)
     return single if (single == m).all() else m
 
 
-def _open(row: dict, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    x = np.frombuffer(row["rows"], np.float64 if row["wide"] else np.float32).reshape(-1, width).astype(np.float64)
-    return x, np.frombuffer(row["nodes"], np.int64), np.frombuffer(row["many"], np.int64), np.frombuffer(row["sizes"], np.int64)
+def _open(store: Store, meta: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, nodes, how many rows each stands for, lengths) of a tile."""
+    leaf, part, n, wide = meta.tolist()
+    rows = store.array(f"rows-{leaf}-{part}", np.float64 if wide else np.float32, n * width).reshape(n, width)
+    return rows.astype(np.float64), *(np.asarray(store.array(f"{what}-{leaf}-{part}", np.int64, n)) for what in ("nodes", "many", "sizes"))
 
 
 def dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
