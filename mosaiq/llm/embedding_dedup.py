@@ -288,3 +288,14 @@ def dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
 
 def op7_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "embeddings"))
+
+
+#: All pairs by plain cosine, components by handing on the ids that can be reached; for small tables, as it is quadratic.
+OP7_SQL = f"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+ AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0),
+ links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+ WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= {THRESHOLD} END),
+ reach(node, seen) AS (SELECT a, a FROM links UNION SELECT l.b, r.seen FROM reach r JOIN links l ON l.a = r.node WHERE r.seen < l.b),
+ low AS (SELECT node, min(seen) AS low FROM reach GROUP BY node), many AS (SELECT a AS node, count(*) AS n FROM links GROUP BY a)
+ SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(low, vec_id) AS component_id, coalesce(vec_id = coalesce(low, vec_id), false) AS kept
+ FROM embeddings LEFT JOIN low ON low.node = vec_id LEFT JOIN many ON many.node = vec_id"""

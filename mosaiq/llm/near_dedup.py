@@ -327,3 +327,17 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         gone = keep(materialise(gone, "dedup-gone"))
     side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS * 5 else gone
     return own_names(plain.join(side, "rid", "left_anti"), of)
+
+
+#: Exact weighted Jaccard similarity of all texts that share a shingle, components by handing on the rows that can be reached; for small tables.
+OP10_SQL = f"""WITH RECURSIVE texts AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS LAST) AS r,
+ regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+ rows AS (SELECT doc_id, r, w, min(r) OVER (PARTITION BY array_to_string(w, ' ')) AS node FROM texts),
+ runs AS (SELECT node, unnest([array_to_string(w[i:i + {SHINGLE - 1}], ' ') FOR i IN range(1, greatest(len(w) - {SHINGLE - 2}, 2))]) AS s FROM rows WHERE r = node AND len(w) > 0),
+ weights AS (SELECT node, s, count(*) AS n FROM runs GROUP BY node, s), sizes AS (SELECT node, sum(n) AS n FROM weights GROUP BY node),
+ shared AS (SELECT a.node AS a, b.node AS b, sum(least(a.n, b.n)) AS n FROM weights a JOIN weights b ON a.s = b.s AND a.node <> b.node GROUP BY 1, 2),
+ links AS (SELECT a, b FROM shared h JOIN sizes x ON x.node = a JOIN sizes y ON y.node = b WHERE h.n >= {THRESHOLD} * (x.n + y.n - h.n)),
+ reach(node, seen) AS (SELECT a, a FROM links UNION SELECT l.b, e.seen FROM reach e JOIN links l ON l.a = e.node WHERE e.seen < l.b),
+ low AS (SELECT node, min(seen) AS low FROM reach GROUP BY node),
+ classes AS (SELECT doc_id, r, coalesce(low, rows.node) AS class FROM rows LEFT JOIN low ON low.node = rows.node)
+ SELECT c.doc_id, f.doc_id AS class_id, count(*) OVER (PARTITION BY c.class) AS class_size, c.r = c.class AS kept FROM classes c JOIN texts f ON f.r = c.class"""

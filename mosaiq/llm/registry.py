@@ -18,4 +18,9 @@ QUERIES = {
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_bagminhash": near_dedup.op10_bagminhash,
 }
-ORACLE_SQL = {"op2_source_mix": mixing.OP2_SQL, "op8_license_scan": licenses.oracle_sql()}
+ORACLE_SQL = {
+    "op2_source_mix": mixing.OP2_SQL,
+    "op7_embedding_neardup": embedding_dedup.OP7_SQL,
+    "op8_license_scan": licenses.oracle_sql(),
+    "op10_bagminhash": near_dedup.OP10_SQL,
+}
