@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mosaiq.functions.regions import span
+from mosaiq.plans.numbering import numbered
 
 #: Largest id of the label types; Spark has no unsigned types, so limits are checked.
 LIMITS = {"uint8": 2**8 - 1, "uint16": 2**16 - 1, "uint32": 2**32 - 1, "int8": 2**7 - 1, "int16": 2**15 - 1, "int32": 2**31 - 1, "int64": 2**63 - 1}
@@ -55,8 +56,7 @@ def relabel_sequential(labels: DataFrame, unit_rank: Column, mapping: DataFrame
     else:
         seen = seen.withColumn("root", F.col("old"))
     places = seen.groupBy("root").agg(F.min(F.struct("unit", "old")).alias("place"))
-    numbered = places.withColumn("new", F.row_number().over(Window.orderBy("place")).cast("long"))
-    return seen.join(numbered, "root").select("old", "new")
+    return seen.join(numbered(places, ["place"], "new"), "root").select("old", "new")
 
 
 def overlap_iou(left: DataFrame, right: DataFrame, axes: list[str]) -> DataFrame:

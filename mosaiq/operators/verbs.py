@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.operators.spatial import iou, overlap_pairs
 from mosaiq.plans.graph import connected_components
+from mosaiq.plans.numbering import numbered
 from mosaiq.plans.ship import ship
 
 
@@ -171,10 +172,7 @@ def suppress(boxes: DataFrame, axes: list[str], threshold: float = 0.5, score: s
     flat = crowded.select("component", "__id", F.col("__rank.s").alias("s"), *key, *group, *[f"{a}_{side}" for a in axes for side in ("start", "stop")])
     chosen = flat.groupBy("component").applyInPandas(choose, "__id long")
     gone = components.select(F.col("node").alias("__id")).join(chosen, "__id", "left_anti")
-    kept = ranked.join(gone, "__id", "left_anti").drop("__id", "__rank")
-    from pyspark.sql import Window
-
-    return kept.withColumn("id", F.row_number().over(Window.orderBy(*key)).cast("long"))
+    return numbered(ranked.join(gone, "__id", "left_anti").drop("__id", "__rank"), list(key), "id")
 
 
 def detect(image: DataFrame, tiles: DataFrame, func: Callable[[np.ndarray], list[dict]], axes: list[str], most: int | None = None, score: bool = False, **kw) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mosaiq.plans.graph import connected_components
+from mosaiq.plans.numbering import numbered
 
 
 def conflict_edges(footprints: DataFrame, unit: str = "unit", chunk: str = "chunk") -> DataFrame:
@@ -66,4 +67,4 @@ def merged_partials(partials: DataFrame, n_jobs: int, index: str = "index", row:
     if missing:
         raise ValueError(f"no results of jobs {missing}")
     kept = partials.where(F.col(index).isNotNull())
-    return kept.withColumn("place", F.row_number().over(Window.orderBy(index, row)) - 1)
+    return numbered(kept, [index, row], "place", 0)

@@ -553,7 +553,26 @@ def components_min_label(spark, sf):
     return connected_components(c.select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + 1 + F.col("c_custkey") % 7).alias("b")))
 
 
-@query()
+#: Greedy choice in SQL over boxes (node, c: component, k: rank within it) and their overlaps (n, m): one step for each rank of a component.
+_GREEDY = """near AS (SELECT n, list(m) AS l FROM edges GROUP BY n),
+ steps AS (SELECT node, c, k, coalesce(l, []::BIGINT[]) AS l FROM placed LEFT JOIN near ON n = node),
+ chosen(c, k, kept) AS (SELECT DISTINCT c, 0::BIGINT, []::BIGINT[] FROM steps
+ UNION ALL SELECT s.c, s.k, CASE WHEN list_has_any(kept, s.l) THEN kept ELSE list_append(kept, s.node) END FROM chosen h JOIN steps s ON s.c = h.c AND s.k = h.k + 1),
+ stay AS (SELECT unnest(arg_max(kept, k)) AS node FROM chosen GROUP BY c)"""
+
+
+@query(f"""WITH RECURSIVE {_CELLS}, e AS (SELECT event_id, event_type AS kind, value AS score FROM events),
+ pairs AS (SELECT a.id AS a, b.id AS b, (least(a.x_stop, b.x_stop) - greatest(a.x_start, b.x_start)) * (least(a.y_stop, b.y_stop) - greatest(a.y_start, b.y_start)) AS common,
+ (a.x_stop - a.x_start) * (a.y_stop - a.y_start) + (b.x_stop - b.x_start) * (b.y_stop - b.y_start) AS sizes FROM cells a JOIN cells b ON {_FIRST_CELL}
+ AND a.x_start < b.x_stop AND b.x_start < a.x_stop AND a.y_start < b.y_stop AND b.y_start < a.y_stop),
+ alike AS (SELECT a, b FROM pairs JOIN e x ON x.event_id = a JOIN e y ON y.event_id = b WHERE x.kind IS NOT DISTINCT FROM y.kind AND common / (sizes - common) >= 0.5),
+ edges AS (SELECT a AS n, b AS m FROM alike UNION ALL SELECT b, a FROM alike),
+ reach(node, seen) AS (SELECT n, n FROM edges UNION SELECT m, seen FROM reach JOIN edges ON n = node WHERE seen < m),
+ parts AS (SELECT node, min(seen) AS c FROM reach GROUP BY node),
+ placed AS (SELECT node, c, row_number() OVER (PARTITION BY c ORDER BY score DESC, node) AS k FROM parts JOIN e ON event_id = node),
+ {_GREEDY}
+ SELECT x_start, x_stop, y_start, y_stop, score, kind AS event_type, id // 100 AS tile, CAST(id % 100 AS INTEGER) AS "row", row_number() OVER (ORDER BY id) AS id
+ FROM boxes b JOIN e ON event_id = b.id WHERE b.id NOT IN (SELECT node FROM parts) OR b.id IN (SELECT node FROM stay)""")
 def nms_boxes(spark, sf):
     """Kept boxes of events, the value as the score and the type as the group."""
     e = V.table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("value").alias("score"), "event_type")
@@ -608,7 +627,14 @@ def reduce_tiles(spark, sf):
     return VB.reduce_tiles(image, _halo_tiles(spark, margin=0), lambda a: {"n": int((a > 0).sum()), "total": float(a.sum())}, "n long, total double", ["y", "x"])
 
 
-@query()
+@query(f"""WITH RECURSIVE {V.PIXELS}, flat AS (SELECT y, x, max(value) AS v FROM pixels GROUP BY y, x),
+ tiles AS (SELECT i * 4 + j AS tile, greatest(i * 64 - 8, 0) AS y0, least(i * 64 + 72, 256) AS y1, greatest(j * 64 - 8, 0) AS x0, least(j * 64 + 72, 256) AS x1 FROM range(4) a(i), range(4) b(j)),
+ best AS (SELECT tile, y0, x0, y, x, v, row_number() OVER (PARTITION BY tile ORDER BY v DESC, y, x) AS r FROM tiles JOIN flat ON y >= y0 AND y < y1 AND x >= x0 AND x < x1),
+ found AS (SELECT tile, CAST(y0 + greatest(y - y0 - 2, 0) AS DOUBLE) AS ys, CAST(x0 + greatest(x - x0 - 2, 0) AS DOUBLE) AS xs, CAST(v AS DOUBLE) AS score FROM best WHERE r = 1),
+ pairs AS (SELECT a.tile AS n, b.tile AS m, greatest(5 - abs(a.ys - b.ys), 0) * greatest(5 - abs(a.xs - b.xs), 0) AS common FROM found a JOIN found b ON a.tile <> b.tile),
+ edges AS (SELECT n, m FROM pairs WHERE common / (50 - common) >= 0.3), placed AS (SELECT tile AS node, 0 AS c, row_number() OVER (ORDER BY score DESC, tile) AS k FROM found),
+ {_GREEDY}
+ SELECT tile, 0::INTEGER AS "row", ys AS y_start, xs AS x_start, score, ys + 5 AS y_stop, xs + 5 AS x_stop, row_number() OVER (ORDER BY tile) AS id FROM found JOIN stay ON node = tile""")
 def detect_bright(spark, sf):
     """The brightest pixel of each tile as a box of 5 x 5, after suppression."""
     image = _flat_image(spark, sf)

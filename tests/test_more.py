@@ -198,3 +198,16 @@ def test_queries_equal_their_sql(spark):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_numbers_along_an_order(spark):
+    from mosaiq.plans.numbering import numbered
+
+    keys = [(i * 37) % 101 for i in range(400)] + [None, None]
+    rows = spark.createDataFrame([(k, i, -i) for i, k in enumerate(keys)], "k int, i int, n int").repartition(7)
+    want = sorted(range(len(keys)), key=lambda i: (keys[i] is not None, keys[i] or 0, i))
+    got = numbered(rows, ["k", "i"], "n", first=0)
+    assert got.columns == ["k", "i", "n"] and dict(got.dtypes)["n"] == "bigint"
+    assert [r.i for r in got.orderBy("n").collect()] == want and sorted(r.n for r in got.collect()) == list(range(len(keys)))
+    assert sorted(r.n for r in numbered(rows, ["k"], "n").collect()) == list(range(1, len(keys) + 1))  # ties
+    assert numbered(rows.limit(0), ["k"], "n").count() == 0
