@@ -2,18 +2,21 @@
 
 A page is read into blocks. Each block is *main* (inside the article, or the element marked as the
 main one), *chrome* (inside navigation, headers, footers, asides, forms, adverts, comments and the
-like, as tags, roles, classes and ids tell), or *loose* (neither). Main blocks stay and chrome goes;
-both are decided by the markup, as an article may quote what other pages also hold. What the markup
-leaves open is decided by repetition within the host: the token streams of the loose and chrome blocks
-of a host's pages are concatenated, a suffix array over them groups the suffixes that share their
-first RUN tokens (or a whole shorter block), and groups on at least PAGES distinct pages are repeated
-passages; a longer repeat is a chain of such groups. Covered runs are cut out of loose blocks, unique
-runs stay. Pages of one host with equal text count as one page.
-
-A host's streams need not meet in one task: each task builds the array over the pages it holds and
-passes on one row per group (a hash of its tokens, and its number of pages, as every page is in
-one task); the numbers are added by hash, which gives what one array over the whole host would. So a
-host with a third of all pages is summed up before the shuffle and spread over all tasks by it.
+like, as tags, roles, classes and ids tell), or *loose* (neither). Of every page, marked up or not,
+the token streams of the loose and chrome blocks go through the host's suffix array: the streams of a
+host's pages are concatenated, the array groups the suffixes that share their first RUN tokens (or a
+whole shorter block), and groups on at least PAGES distinct pages are repeated passages; a longer
+repeat is a chain of such groups. Pages of one host with equal text count as one page. Every page then
+looks up its own runs among the repeated passages: covered runs are cut out of loose blocks, unique runs
+stay, and ``n_covered`` counts the covered words outside the article. The markup is checked after that:
+main blocks stay whole, as an article may quote what other pages also hold, and chrome goes, as menus
+and adverts may differ from page to page.
+
+Pages are dealt by host, so that one array holds a whole host. A host of more than HOST_PAGES pages is
+dealt to several tasks and a long array is cut after ARRAY_WORDS words; as a page is in one array only,
+such arrays pass on the number of pages of each group by a hash of its tokens, and the sums are what one
+array over the whole host would give. The repeated passages lie as sorted hashes in the shared folder,
+so no text crosses a shuffle but the blocks outside the articles, once.
 
 Defined cases: a null html is empty and gives an empty text; broken markup is read as far as it goes
 (unclosed elements end with their parent, an unclosed comment or script with the page); a null or odd
@@ -32,12 +35,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaiq.llm.common import table
-from mosaiq.llm.language_model import mix
-from mosaiq.plans.scratch import materialise
+from mosaiq.llm.language_model import mix, part_of
+from mosaiq.llm.store import Store
+from mosaiq.plans.scratch import fresh_path, materialise
 from mosaiq.plans.ship import ship
 
 #: A repeated passage has so many tokens at least, on so many pages of its host.
 RUN, PAGES = 8, 3
+#: Pages of a host in one task, words of an array, and repeated passages in a file of the shared folder (of which there are FILES at least).
+HOST_PAGES, ARRAY_WORDS, FILE_RUNS, FILES = 1000, 1_000_000, 2_000_000, 64
 
 MAIN, LOOSE, CHROME = 2, 1, 0
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object", "canvas", "audio", "video", "head", "select"}
@@ -198,7 +204,7 @@ def suffix_groups(tokens: np.ndarray, run: int = RUN) -> np.ndarray:
     return rank
 
 
-def _streams(batch: pa.RecordBatch, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _streams(hosts: list[str], others: list[list[dict]], run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(tokens, places where a run begins, their rows, their words' numbers in the page) of the blocks of parsed pages.
 
     The streams stand one after another, each block followed by ends, so no run crosses blocks. A run is
@@ -207,10 +213,10 @@ def _streams(batch: pa.RecordBatch, run: int = RUN) -> tuple[np.ndarray, np.ndar
     kept: dict[str, int] = {}
     words, size, row, host = [], [], [], []
     digest = xxhash.xxh3_64_intdigest
-    for r, (h, found) in enumerate(zip(batch.column("host").to_pylist(), batch.column("other").to_pylist(), strict=True)):
+    for r, (h, found) in enumerate(zip(hosts, others, strict=True)):
         own = digest(h)
         for x in found:
-            some = x["t"].split()
+            some = x["t"].split(" ")
             for w in some:
                 if w not in kept:
                     kept[w] = digest(w)
@@ -233,9 +239,9 @@ def _streams(batch: pa.RecordBatch, run: int = RUN) -> tuple[np.ndarray, np.ndar
     return token, start[block] + within, row[block], word - page_first[block]
 
 
-def _grouped(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _grouped(hosts: list[str], others: list[list[dict]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(a hash for each group of equal runs, group of each place, its row, its word's number in the page)."""
-    token, at, row, word = _streams(batch)
+    token, at, row, word = _streams(hosts, others)
     groups = suffix_groups(token)[at]
     _, first, group = np.unique(groups, return_index=True, return_inverse=True)
     h = np.zeros(len(first), np.uint64)
@@ -244,77 +250,128 @@ def _grouped(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return h, group, row, word
 
 
+def counted(hosts: list[str], others: list[list[dict]], cut: set[str]) -> pa.RecordBatch:
+    """(hash, pages) of the groups of one array over distinct pages; of hosts that are whole, not in ``cut``, the repeated ones only."""
+    hashes, of, row, _ = _grouped(hosts, others)
+    pages = np.bincount(np.unique(of * len(hosts) + row) // max(len(hosts), 1), minlength=len(hashes))  # a page counts once for a group
+    a_row = np.zeros(len(hashes), np.int64)
+    a_row[of] = row
+    keep = (pages >= PAGES) | np.asarray([h in cut for h in hosts], bool)[a_row]
+    return pa.RecordBatch.from_arrays([pa.array(hashes[keep].view(np.int64)), pa.array(pages[keep].astype(np.int64))], names=["run", "pages"])
+
+
+def repeated_runs(parsed: DataFrame) -> tuple[str, list[int]]:
+    """Where the hashes of the hosts' repeated passages lie, sorted, and the number in each file."""
+    spark = parsed.sparkSession
+
+    def arrays(batches):
+        hosts, others, cut, words = [], [], set(), 0
+        for batch in batches:
+            for host, shares, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shares > 1:
+                    cut.add(host)
+                if hosts and words >= (ARRAY_WORDS if host == hosts[-1] else ARRAY_WORDS // 4):
+                    if host == hosts[-1]:
+                        cut.add(host)
+                    yield counted(hosts, others, cut)
+                    hosts, others, words = [], [], 0
+                hosts.append(host)
+                others.append(other)
+                words += sum(x["t"].count(" ") + 1 for x in other)
+        if hosts:
+            yield counted(hosts, others, cut)
+
+    # at most one row for each HOST_PAGES pages
+    large = parsed.groupBy("host").count().where(F.col("count") > HOST_PAGES).select("host", F.ceil(F.col("count") / HOST_PAGES).alias("shares"))
+    once = parsed.select("host", "same", "other").dropDuplicates(["host", "same"]).join(F.broadcast(large), "host", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
+    dealt = once.repartition("host", F.pmod("same", "shares")).sortWithinPartitions("host")
+    repeated = dealt.select("host", "shares", "other").mapInArrow(arrays, "run long, pages long").groupBy("run").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= PAGES)
+    repeated = materialise(repeated.select("run"), "pages-repeated")
+    uri, files = fresh_path(spark, "pages-runs"), max(FILES, -(-repeated.count() // FILE_RUNS))
+
+    def ranges(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(part_of(batch.column(0).to_numpy().view(np.uint64), files).astype(np.int32))], names=["run", "part"])
+
+    def write(group: pa.Table) -> pa.Table:
+        part = group["part"][0].as_py()
+        Store(uri).write(f"runs-{part}", np.sort(group["run"].to_numpy().view(np.uint64)))
+        return pa.table({"part": pa.array([part], pa.int32()), "n": pa.array([group.num_rows], pa.int64())})
+
+    sizes = {r["part"]: r["n"] for r in repeated.mapInArrow(ranges, "run long, part int").groupBy("part").applyInArrow(write, "part int, n long").collect()}  # one row per file
+    return uri, [sizes.get(p, 0) for p in range(files)]
+
+
+def among(hashes: np.ndarray, uri: str, sizes: list[int], kept: dict[int, np.ndarray]) -> np.ndarray:
+    """Which hashes are repeated passages; ``kept`` holds the files opened so far."""
+    order = np.argsort(hashes)
+    asked, out = hashes[order], np.zeros(len(hashes), bool)
+    cuts = np.searchsorted(part_of(asked, len(sizes)), np.arange(len(sizes) + 1))
+    for p, n in enumerate(sizes):
+        some = slice(cuts[p], cuts[p + 1])
+        if n and some.start < some.stop:
+            if p not in kept:
+                kept[p] = Store(uri).array(f"runs-{p}", np.uint64, n)
+            out[order[some]] = kept[p][np.minimum(np.searchsorted(kept[p], asked[some]), n - 1)] == asked[some]
+    return out
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Rows (page_id, url, text, n_chars, n_repeated: blocks removed for repetition)."""
+    """Rows (page_id, url, text, n_chars, n_repeated: loose blocks removed for repetition, n_covered: words outside the article in repeated passages)."""
     ship(pages.sparkSession)
-    asked = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), F.monotonically_increasing_id().alias("rid"))
+    asked = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     kind = asked.schema["page_id"].dataType.simpleString()
-    item = pa.struct([("m", pa.bool_()), ("t", pa.string()), ("loose", pa.bool_())])
+    item = pa.struct([("t", pa.string()), ("loose", pa.bool_())])
 
     def parse(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            main, other, undecided = [], [], []
+            main, other, same = [], [], []
             for text in batch.column(2).to_pylist():
                 found = blocks(text)
-                loose = any(k == LOOSE for k, _ in found)
                 main.append("\n".join(t for k, t in found if k == MAIN))
-                other.append([{"m": False, "t": t, "loose": k == LOOSE} for k, t in found if k != MAIN])
-                undecided.append(loose)
+                other.append([{"t": t, "loose": k == LOOSE} for k, t in found if k != MAIN])
+                same.append(xxhash.xxh3_64_intdigest("\n\n".join([main[-1], *(f"{x['loose']:d}{x['t']}" for x in other[-1])])))
+            hosts = [host_of(u) for u in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(3), pa.array([host_of(u) for u in batch.column(1).to_pylist()]), pa.array(main), pa.array(other, pa.list_(item)), pa.array(undecided)],
-                names=["page_id", "url", "rid", "host", "main", "other", "undecided"],
+                [batch.column(0), batch.column(1), pa.array(hosts), pa.array(np.asarray(same, np.uint64).view(np.int64)), pa.array(main), pa.array(other, pa.list_(item))],
+                names=["page_id", "url", "host", "same", "main", "other"],
             )
 
-    parsed = asked.mapInArrow(parse, f"page_id {kind}, url string, rid long, host string, main string, other array<struct<m:boolean,t:string,loose:boolean>>, undecided boolean")
+    parsed = asked.mapInArrow(parse, f"page_id {kind}, url string, host string, same long, main string, other array<struct<t:string,loose:boolean>>")
     parsed = materialise(parsed, "pages-parsed")
-
-    decided = parsed.where("not undecided").select("page_id", "url", F.col("main").alias("text"), F.length("main").cast("long").alias("n_chars"), F.lit(0).alias("n_repeated"))
-    open_pages = parsed.where("undecided").select("rid", "host", "other")
-    if open_pages.isEmpty():
-        return decided
-
-    def group(batches):
-        for batch in batches:
-            hashes, of, row, _ = _grouped(batch)
-            if len(hashes):
-                pairs = np.unique(of * batch.num_rows + row) // batch.num_rows  # a page counts once for a group
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(np.bincount(pairs, minlength=len(hashes)).astype(np.int64))], names=["run", "pages"])
-
-    # pages of one host with equal text count once, so that copies of a page are not boilerplate
-    once = parsed.groupBy("host", F.xxhash64("main", "other").alias("same")).agg(F.min("rid").alias("rid"))
-    streams = parsed.select("rid", "host", "other").join(once.select("rid"), "rid", "left_semi")
-    repeated = streams.mapInArrow(group, "run long, pages long").groupBy("run").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= PAGES)
-    # written first, so that the join is one of two plain shuffles, which adaptive execution splits at the commonest run
-    repeated = materialise(repeated.select("run"), "pages-repeated")
-
-    def places(batches):
-        for batch in batches:
-            hashes, of, row, word = _grouped(batch)
-            rid = batch.column("rid").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[of].view(np.int64)), pa.array(rid[row]), pa.array(word.astype(np.int64))], names=["run", "rid", "place"])
-
-    covered = open_pages.mapInArrow(places, "run long, rid long, place long").join(repeated, "run").groupBy("rid").agg(F.collect_set("place").alias("places"))
+    uri, sizes = repeated_runs(parsed)
 
     def finish(batches):
+        kept: dict[int, np.ndarray] = {}
         for batch in batches:
-            texts, dropped = [], []
-            for found, places_of in zip(batch.column("other").to_pylist(), batch.column("places").to_pylist(), strict=True):
-                sizes = [len(x["t"].split()) for x in found]
-                ends = np.cumsum(sizes)
-                cover = np.zeros(sum(sizes), bool)
-                for p in places_of or ():
+            mains, others = batch.column("main").to_pylist(), batch.column("other").to_pylist()
+            hashes, of, row, word = _grouped(batch.column("host").to_pylist(), others)
+            again = among(hashes, uri, sizes, kept)[of]
+            row, word = row[again], word[again]
+            cuts = np.searchsorted(row, np.arange(len(mains) + 1))
+            texts, dropped, covered = [], [], []
+            for r, (main, found) in enumerate(zip(mains, others, strict=True)):
+                sizes_of = [x["t"].count(" ") + 1 for x in found]
+                ends = np.cumsum(sizes_of, dtype=np.int64)
+                cover = np.zeros(sum(sizes_of), bool)
+                for p in word[cuts[r] : cuts[r + 1]]:
                     cover[p : min(p + RUN, ends[np.searchsorted(ends, p, "right")])] = True
-                left = [" ".join(w for w, c in zip(x["t"].split(), cover[e - n : e], strict=True) if not c) if cover[e - n : e].any() else x["t"] for x, e, n in zip(found, ends, sizes, strict=True)]
-                texts.append("\n".join(t for x, t in zip(found, left, strict=True) if x["loose"] and t))
-                dropped.append(sum(bool(x["loose"] and x["t"] and not t) for x, t in zip(found, left, strict=True)))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(dropped, pa.int32())], names=["page_id", "url", "text", "n_chars", "n_repeated"])
+                left = [
+                    " ".join(w for w, c in zip(x["t"].split(" "), cover[e - n : e], strict=True) if not c) if cover[e - n : e].any() else x["t"]
+                    for x, e, n in zip(found, ends, sizes_of, strict=True) if x["loose"]
+                ]
+                texts.append("\n".join(t for t in [main, *left] if t))
+                dropped.append(left.count(""))
+                covered.append(int(cover.sum()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(dropped, pa.int32()), pa.array(covered, pa.int32())],
+                names=["page_id", "url", "text", "n_chars", "n_repeated", "n_covered"],
+            )
 
-    shape = f"page_id {kind}, url string, text string, n_chars long, n_repeated int"
-    rest = parsed.where("undecided").select("rid", "page_id", "url", "other").join(covered, "rid", "left").select("page_id", "url", "other", "places")
-    return decided.unionByName(rest.mapInArrow(finish, shape))
+    return parsed.select("page_id", "url", "host", "main", "other").mapInArrow(finish, f"page_id {kind}, url string, text string, n_chars long, n_repeated int, n_covered int")
 
 
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "n_repeated")
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "n_repeated", "n_covered")

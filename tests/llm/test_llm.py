@@ -393,6 +393,34 @@ def test_pages_repeats_against_brute_force(spark):
     assert got == want and sum(t.count("s5k9 ") for t in want.values()) < 5
 
 
+def test_pages_with_articles_go_through_the_suffix_array(spark, monkeypatch):
+    """Every page's blocks outside the article are held against the host's repeats, whole hosts or dealt to several arrays; articles stay whole."""
+    rng = np.random.default_rng(4)
+    menus = [" ".join(f"m{i}k{j}" for j in range(n)) for i, n in enumerate((1, 4, 9, 20))]
+    rows, streams = [], {}
+    for i in range(90):
+        host, menu = f"h{i % 2}.org", menus[int(rng.integers(0, 4))]
+        outside = [menu, f"only{i} {menus[3]} end{i}" if i % 5 == 0 else f"own words of page {i}"]
+        rows.append((i, f"http://{host}/{i}", f"<nav>{outside[0]}</nav><article><p>{menu} text {i}</p></article><footer>{outside[1]}</footer>"))
+        streams[i] = (host, [x.split() for x in outside])
+    rows += [(100 + i, "http://h0.org/copy", rows[0][2].replace("text 0", "text copy").replace("only0", "once")) for i in range(4)]
+    runs = lambda p: {(k, len(p) < HE.RUN, tuple(p[k : k + HE.RUN])) for k in range(len(p)) if k + HE.RUN <= len(p) or not k}
+    streams |= {100 + i: ("h0.org", [x.split() for x in (rows[0][2][5:].split("</nav>")[0], f"once {menus[3]} end0")]) for i in range(4)}
+    pages = Counter()
+    for i, (host, parts) in streams.items():
+        if i <= 100:  # the copies are one page
+            pages.update({(host, *r[1:]) for p in parts for r in runs(p)})
+    want = {i: sum(len({k + d for k, short, r in runs(p) if pages[host, short, r] >= HE.PAGES for d in range(len(r))}) for p in parts) for i, (host, parts) in streams.items()}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    for host_pages, words in ((1000, 1_000_000), (7, 1_000_000), (1000, 40), (7, 20)):
+        monkeypatch.setattr(HE, "HOST_PAGES", host_pages)
+        monkeypatch.setattr(HE, "ARRAY_WORDS", words)
+        got = HE.extract(df).collect()
+        assert {r.page_id: r.n_covered for r in got} == want and len(got) == 94
+        assert all(r.text == r_html.split("<p>")[1].split("</p>")[0] for r in got for i, _, r_html in rows if i == r.page_id)
+    assert 0 < sum(v > 0 for v in want.values()) and HE.extract(df.limit(0)).count() == 0
+
+
 def test_pages_lose_only_what_repeats(spark):
     own = lambda i, n=6: " ".join(f"w{i}x{j}" for j in range(n))
     menu = "one menu of ten words that all the pages share"
