@@ -4,7 +4,9 @@ Each stage reads what its predecessor wrote, and all of it. Stages 1 to 4 return
 ``documents``, whatever these are called; the last returns the packed pieces with their token ids.
 
 A stage's scratch tables are deleted when the next stage begins, as its result has been written then;
-where a caller passes an unwritten result on, they stay.
+where a caller passes an unwritten result on, they stay. So they do where that can't be told: a result that is
+cached or that went through an RDD or a checkpoint may still have to be computed, in part at least if executors
+are lost. They go then with the next stage that gets a written table, or at the end.
 
 Defined cases, in every stage: an empty table gives an empty result; repeated rows are rows of their
 own. A null or empty text fails the rules, so only a direct call of a later stage meets one: there it
@@ -26,10 +28,21 @@ from mosaiq.plans.ship import ship
 _left: list[str] = []
 
 
+def _files(docs: DataFrame) -> list[str] | None:
+    """The files that a plan reads, those of cached tables too; None if it reads anything else, such as an RDD, whose origin isn't known."""
+    leaves, found = docs._jdf.queryExecution().analyzed().collectLeaves(), []
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() != "LogicalRelation" or leaf.relation().getClass().getSimpleName() != "HadoopFsRelation":
+            return None
+        found += leaf.relation().location().inputFiles()
+    return found
+
+
 def _work(stage: Callable, spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     names = [path.rpartition("/")[2] for path in _left]
-    if names and not any(name in file for file in docs.inputFiles() for name in names):
+    if names and (files := _files(docs)) is not None and not any(name in file for file in files for name in names):
         drop(spark, _left)
         _left.clear()
     with tracked() as own:

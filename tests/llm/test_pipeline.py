@@ -74,3 +74,19 @@ def test_scratch_tables_go_when_the_next_stage_begins(spark, corpus, tmp_path):
     docs.write.parquet(str(tmp_path / "out"))
     stages[1](spark, spark.read.parquet(str(tmp_path / "out")), path)
     assert not set(held) & set(corpus_pipeline._left) and not any(os.path.exists(p.removeprefix("file:")) for p in held)
+
+
+@pytest.mark.parametrize(
+    "hand_on",
+    [lambda df: df.cache(), lambda df: df.sparkSession.createDataFrame(df.rdd, df.schema), lambda df: df.checkpoint(eager=False)],
+    ids=["cached", "rdd", "checkpoint"],
+)
+def test_results_that_are_computed_late_keep_their_scratch_tables(spark, corpus, tmp_path, hand_on):
+    path, _ = corpus
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    docs = hand_on(corpus_pipeline.STAGES[0][1](spark, spark.read.parquet(f"{path}/documents.parquet"), path))
+    try:
+        kept = corpus_pipeline.STAGES[1][1](spark, docs, path)
+        assert sorted(r.doc_id for r in kept.collect()) == [*range(60), 72, 73]
+    finally:
+        docs.unpersist()
