@@ -16,7 +16,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     the longest path. Each round is written to the shared folder, which keeps plans short and the
     work safe when executors go. Edges with a null end, loops and repeated edges are allowed. A node
     with very many neighbours takes part in one aggregation with partial sums and in one join that
-    adaptive execution can split. Without edges the result is empty.
+    adaptive execution can split. Joins are merge joins at every size, as a side that is small on disk may
+    be large in memory, and a broadcast of it passes through the driver in each round. Without edges the result is empty.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     state = materialise(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
@@ -26,9 +27,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # written first, so that both sides of the join are plain shuffles, which adaptive execution splits at hubs
         least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "cc-least")
-        large = materialise(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "cc-large")
+        large = materialise(both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "cc-large")
         low = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
+        small = large.join(low.hint("merge"), "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
         before, state = state, materialise(small.select("e.u", F.col("e.m").alias("v")).where("u <> v").distinct(), "cc")
         remove(before, least, large, low)
     else:

@@ -143,6 +143,22 @@ def test_percentiles_and_measure(spark):
     assert {r.label: (r.area, r["mean"]) for r in m} == {1: (2, 1.5), 2: (1, 4.0)}
 
 
+def broadcasts(df):
+    df.collect()
+    return "BroadcastExchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_components_broadcast_nothing(spark, monkeypatch):
+    from mosaiq.plans import graph
+
+    held = []
+    write = graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, name: held.append(broadcasts(df)) or write(df, name))
+    edges = spark.range(50).selectExpr("id as a", "id + 1 as b")
+    assert {r.component for r in connected_components(edges).collect()} == {0}
+    assert len(held) > 5 and not any(held)
+
+
 def test_suppression(spark):
     schema = "tile long, row int, x_start double, x_stop double, y_start double, y_stop double, score double, t int"
     boxes = spark.createDataFrame([(0, 0, 0.0, 10.0, 0.0, 10.0, 0.9, 0), (0, 1, 2.0, 12.0, 2.0, 12.0, 0.5, 0), (1, 0, 0.0, 10.0, 0.0, 10.0, 0.1, 1)], schema)
