@@ -19,28 +19,34 @@ def _cells(start: Column, stop: Column, cell: float) -> tuple[Column, Column]:
 
 
 def _keyed(boxes: DataFrame, axes: list[str], cell: dict[str, float], tag: str) -> DataFrame:
-    out = boxes.select(F.struct("*").alias(tag))
+    """Rows as a struct ``tag``, once for each cell; the bounds stand beside it, as they are read for every two boxes of a cell."""
+    bounds = [F.col(f"{a}_{side}").alias(f"{tag}_{a}_{side}") for a in axes for side in ("start", "stop")]
+    out = boxes.select(F.struct("*").alias(tag), *bounds)
     for a in axes:
-        first, last = _cells(F.col(f"{tag}.{a}_start"), F.col(f"{tag}.{a}_stop"), cell[a])
+        first, last = _cells(F.col(f"{tag}_{a}_start"), F.col(f"{tag}_{a}_stop"), cell[a])
         out = out.withColumn(f"{tag}_first_{a}", first).withColumn(f"__cell_{a}", F.explode(F.sequence(first, last)))
     return out
 
 
-def overlap_join(left: DataFrame, right: DataFrame, axes: list[str], cell: dict[str, float], more: Column | None = None) -> DataFrame:
-    """Rows (a, b) of structs for all pairs that overlap on every axis. Columns ``<axis>_start``, ``<axis>_stop``, half-open and bounded."""
+def overlap_join(left: DataFrame, right: DataFrame, axes: list[str], cell: dict[str, float], more: Column | None = None, large: bool = False) -> DataFrame:
+    """Rows (a, b) of structs for all pairs that overlap on every axis. Columns ``<axis>_start``, ``<axis>_stop``, half-open and bounded.
+
+    Where both sides are ``large``, neither is broadcast however small its files are.
+    """
     keys = [f"__cell_{a}" for a in axes]
-    pairs = _keyed(left, axes, cell, "a").join(_keyed(right, axes, cell, "b"), keys)
-    hold = F.lit(True) if more is None else more
+    other = _keyed(right, axes, cell, "b")
+    pairs = _keyed(left, axes, cell, "a").join(other.hint("merge") if large else other, keys)
+    hold = F.lit(True)
     for a in axes:
-        hold &= (F.col(f"a.{a}_start") < F.col(f"b.{a}_stop")) & (F.col(f"b.{a}_start") < F.col(f"a.{a}_stop"))
+        hold &= (F.col(f"a_{a}_start") < F.col(f"b_{a}_stop")) & (F.col(f"b_{a}_start") < F.col(f"a_{a}_stop"))
         hold &= F.col(f"__cell_{a}") == F.greatest(F.col(f"a_first_{a}"), F.col(f"b_first_{a}"))
-    return pairs.where(hold).select("a", "b")
+    return pairs.where(hold if more is None else hold & more).select("a", "b")
 
 
 def overlap_pairs(boxes: DataFrame, key: str, axes: list[str], cell: dict[str, float], more: Column | None = None) -> DataFrame:
     """Each overlapping pair of one table once, with a's key below b's."""
     order = F.col(f"a.{key}") < F.col(f"b.{key}")
-    return overlap_join(boxes, boxes, axes, cell, order if more is None else order & more)
+    return overlap_join(boxes, boxes, axes, cell, order if more is None else order & more, large=True)
 
 
 def any_overlap(boxes: DataFrame, key: str, axes: list[str], cell: dict[str, float]) -> bool:
@@ -60,10 +66,15 @@ def labels_compatible(a: Column, b: Column) -> Column:
 
 
 def touching_only(boxes: DataFrame, key: str, axes: list[str], cell: dict[str, float], grow: str) -> DataFrame:
-    """Pairs (ka, kb) that overlap only once one axis is extended by a pixel."""
-    keys = lambda pairs: pairs.select(F.col(f"a.{key}").alias("ka"), F.col(f"b.{key}").alias("kb"))
-    grown = boxes.withColumn(f"{grow}_stop", F.col(f"{grow}_stop") + 1)
-    return keys(overlap_pairs(grown, key, axes, cell)).join(keys(overlap_pairs(boxes, key, axes, cell)), ["ka", "kb"], "left_anti")
+    """Pairs (ka, kb) that overlap only once one axis is extended by a pixel.
+
+    One join of the extended boxes finds them: the other axes of a pair are the same in both, so of its extended boxes those whose
+    own ones overlap along ``grow`` drop out while they are compared, and no overlapping pair is written.
+    """
+    own = f"__{grow}_stop"
+    grown = boxes.withColumn(own, F.col(f"{grow}_stop")).withColumn(f"{grow}_stop", F.col(f"{grow}_stop") + 1)
+    apart = (F.col(f"a.{grow}_start") >= F.col(f"b.{own}")) | (F.col(f"b.{grow}_start") >= F.col(f"a.{own}"))
+    return overlap_pairs(grown, key, axes, cell, apart).select(F.col(f"a.{key}").alias("ka"), F.col(f"b.{key}").alias("kb"))
 
 
 def iou(axes: list[str]) -> Column:

@@ -148,6 +148,16 @@ def broadcasts(df):
     return "BroadcastExchange" in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_touching_pairs_come_from_one_join(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, float(x), float(x + w), float(y), float(y + h)) for i, (x, w, y, h) in enumerate(zip(*(rng.integers(lo, hi, 120) for lo, hi in ((0, 40), (1, 9), (0, 40), (1, 9))), strict=True))]
+    boxes = spark.createDataFrame(rows, "id long, x_start double, x_stop double, y_start double, y_stop double")
+    pairs = S.touching_only(boxes, "id", ["x", "y"], {"x": 7.0, "y": 5.0}, "x")
+    meet = lambda a, b: a[0] < b[0] and (a[2] == b[1] or b[2] == a[1]) and a[3] < b[4] and b[3] < a[4]
+    assert not broadcasts(pairs) and pairs._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") in (1, 2)  # the plan that ran, and the first one
+    assert sorted(map(tuple, pairs.collect())) == sorted((a[0], b[0]) for a in rows for b in rows if meet(a, b)) != []
+
+
 def test_components_broadcast_nothing(spark, monkeypatch):
     from mosaiq.plans import graph
 
