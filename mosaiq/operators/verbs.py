@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mosaiq.operators.spatial import iou, overlap_pairs
 from mosaiq.plans.graph import connected_components
 from mosaiq.plans.numbering import numbered
+from mosaiq.plans.scratch import materialise, remove
 from mosaiq.plans.ship import ship
 
+#: Rounds over all open overlaps before boxes are suppressed by component.
+ROUNDS = 8
+
 
 def dense(rows: pd.DataFrame, axes: list[str], first: list[int], shape: list[int], value: str) -> np.ndarray:
     """The pixels of a tile as an array; pixels that are not there are 0."""
@@ -136,25 +141,51 @@ def reduce_tiles(image: DataFrame, tiles: DataFrame, func: Callable[[np.ndarray]
 def suppress(boxes: DataFrame, axes: list[str], threshold: float = 0.5, score: str | None = "score", group: list[str] | None = None, cell: dict[str, float] | None = None, key: tuple[str, str] = ("tile", "row")) -> DataFrame:
     """Greedy suppression: best first by (score, tile, row), a box goes when it overlaps a kept one of its group by ``threshold`` or more.
 
-    Suppression acts along such overlaps only, so boxes without one stay without further ado and the
-    greedy choice runs within connected components of the overlaps. Without a score the volume ranks.
-    Kept boxes get ids 1..N by (tile, row).
+    Suppression acts along such overlaps only, so boxes without one stay without further ado. Of the others those without a better
+    one stay and those that overlap them go, in ROUNDS rounds over the overlaps that are still open; what chains
+    of overlaps leave open after these is chosen greedily within connected components. Without a score the volume ranks; boxes whose
+    score is null or no number come last. Kept boxes get ids 1..N by (tile, row).
     """
     ship(boxes.sparkSession)
     group, cell = group or [], cell or {a: 64.0 for a in axes}
     volume = F.lit(1.0)
     for a in axes:
         volume = volume * (F.col(f"{a}_stop") - F.col(f"{a}_start"))
-    ranked = boxes.withColumn("__rank", F.struct((-(F.col(score) if score else volume)).cast("double").alias("s"), *key)).withColumn("__id", F.xxhash64(*key))
+    worth = (F.col(score) if score else volume).cast("double")
+    ranked = boxes.withColumn("__rank", F.struct(F.when(F.isnan(worth), None).otherwise(-worth).alias("s"), *key)).withColumn("__id", F.xxhash64(*key))
+    ranked = ranked.withColumn("__rank", F.struct(F.col("__rank.s").isNull().alias("last"), F.col("__rank.*")))
     same = F.lit(True)
     for g in group:
         same &= F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}"))
-    edges = overlap_pairs(ranked, "__id", axes, cell, same).where(iou(axes) >= threshold).select(F.col("a.__id").alias("a"), F.col("b.__id").alias("b"))
-    components = connected_components(edges)
-    crowded = ranked.join(components.withColumnRenamed("node", "__id"), "__id")
+    compared = ranked.select("__id", "__rank", *group, *[f"{a}_{side}" for a in axes for side in ("start", "stop")])
+    first = F.col("a.__rank") < F.col("b.__rank")
+    sides = F.when(first, F.col("a.__id")).otherwise(F.col("b.__id")), F.when(first, F.col("b.__id")).otherwise(F.col("a.__id"))
+    edges = overlap_pairs(compared, "__id", axes, cell, same).where(iou(axes) >= threshold)
+    edges = materialise(edges.select(sides[0].alias("better"), sides[1].alias("worse")), "boxes-overlaps")
+    gone: list[DataFrame] = []
+    for _ in range(ROUNDS):
+        if edges.isEmpty():
+            break
+        worse = edges.select(F.col("worse").alias("better")).hint("merge")
+        lost = materialise(edges.join(worse, "better", "left_anti").select(F.col("worse").alias("__id")).distinct(), "boxes-lost")
+        # an overlap with a box that stays goes too, as its other box is lost
+        out = [lost.select(F.col("__id").alias(side)).hint("merge") for side in ("better", "worse")]
+        before, edges = edges, materialise(edges.join(out[0], "better", "left_anti").join(out[1], "worse", "left_anti"), "boxes-overlaps")
+        remove(before)
+        gone.append(lost)
+    if not edges.isEmpty():
+        gone.append(_chosen_apart(ranked, edges, axes, threshold, group, key))
+    left = ranked.join(reduce(DataFrame.unionByName, gone).hint("merge"), "__id", "left_anti") if gone else ranked
+    return numbered(left.drop("__id", "__rank"), list(key), "id")
+
+
+def _chosen_apart(ranked: DataFrame, edges: DataFrame, axes: list[str], threshold: float, group: list[str], key: tuple[str, str]) -> DataFrame:
+    """(__id) of the boxes that go, chosen within each connected component of ``edges``."""
+    components = materialise(connected_components(edges, "better", "worse"), "boxes-components")
+    crowded = ranked.join(components.withColumnRenamed("node", "__id").hint("merge"), "__id")
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["s", *key], kind="stable").reset_index(drop=True)
+        rows = rows.sort_values("__place", kind="stable").reset_index(drop=True)
         low, high = (rows[[f"{a}_{side}" for a in axes]].to_numpy(float) for side in ("start", "stop"))
         size = (high - low).prod(1)
         kept: list[int] = []
@@ -167,12 +198,11 @@ def suppress(boxes: DataFrame, axes: list[str], threshold: float = 0.5, score: s
                 if (alike & (both / (size[kept] + size[i] - both) >= threshold)).any():
                     continue
             kept.append(i)
-        return rows.iloc[kept][["__id"]]
+        return rows.drop(index=kept)[["__id"]]
 
-    flat = crowded.select("component", "__id", F.col("__rank.s").alias("s"), *key, *group, *[f"{a}_{side}" for a in axes for side in ("start", "stop")])
-    chosen = flat.groupBy("component").applyInPandas(choose, "__id long")
-    gone = components.select(F.col("node").alias("__id")).join(chosen, "__id", "left_anti")
-    return numbered(ranked.join(gone, "__id", "left_anti").drop("__id", "__rank"), list(key), "id")
+    place = F.row_number().over(Window.partitionBy("component").orderBy("__rank"))
+    flat = crowded.select("component", "__id", place.alias("__place"), *group, *[f"{a}_{side}" for a in axes for side in ("start", "stop")])
+    return materialise(flat.groupBy("component").applyInPandas(choose, "__id long"), "boxes-lost")
 
 
 def detect(image: DataFrame, tiles: DataFrame, func: Callable[[np.ndarray], list[dict]], axes: list[str], most: int | None = None, score: bool = False, **kw) -> DataFrame:

@@ -576,7 +576,7 @@ _GREEDY = """near AS (SELECT n, list(m) AS l FROM edges GROUP BY n),
 def nms_boxes(spark, sf):
     """Kept boxes of events, the value as the score and the type as the group."""
     e = V.table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("value").alias("score"), "event_type")
-    boxes = V.event_boxes(spark, sf).join(e, "id").withColumn("tile", F.floor(F.col("id") / 100).cast("long")).withColumn("row", (F.col("id") % 100).cast("int")).drop("id")
+    boxes = V.event_boxes(spark, sf).join(e.hint("merge"), "id").withColumn("tile", F.floor(F.col("id") / 100).cast("long")).withColumn("row", (F.col("id") % 100).cast("int")).drop("id")
     return VB.suppress(boxes, ["x", "y"], 0.5, "score", ["event_type"], CELL)
 
 

@@ -143,6 +143,32 @@ def test_percentiles_and_measure(spark):
     assert {r.label: (r.area, r["mean"]) for r in m} == {1: (2, 1.5), 2: (1, 4.0)}
 
 
+@pytest.mark.parametrize("rounds", [0, 1, 8])
+def test_suppression_equals_a_plain_greedy_choice(spark, monkeypatch, rounds):
+    """By rounds, by components after them, and both; a chain is longer than the rounds. A null score comes last."""
+    monkeypatch.setattr(VB, "ROUNDS", rounds)
+    rng = np.random.default_rng(5)
+    rows = [(int(i // 7), int(i % 7), float(x), float(x + w), float(y), float(y + 6), float(s), ["a", "b", None][i % 3]) for i, (x, w, y, s) in enumerate(zip(rng.integers(0, 60, 150), rng.integers(6, 9, 150), rng.integers(0, 30, 150), rng.integers(0, 40, 150), strict=True))]
+    rows += [(100, i, 500.0 + 2 * i, 508.0 + 2 * i, 0.0, 6.0, 90.0 - i, "a") for i in range(30)]
+    rows += [(200, 0, 900.0, 908.0, 0.0, 6.0, None, "a"), (200, 1, 901.0, 909.0, 0.0, 6.0, -5.0, "a")]
+    boxes = spark.createDataFrame(rows, "tile long, row int, x_start double, x_stop double, y_start double, y_stop double, score double, t string")
+    kept = []
+    for r in sorted(rows, key=lambda r: (r[6] is None, -(r[6] or 0), r[0], r[1])):
+        def like(k, r=r):
+            both = max(0, min(r[3], k[3]) - max(r[2], k[2])) * max(0, min(r[5], k[5]) - max(r[4], k[4]))
+            return r[7] == k[7] and both / ((r[3] - r[2]) * 6 + (k[3] - k[2]) * 6 - both) >= 0.5
+        if not any(map(like, kept)):
+            kept.append(r)
+    got = VB.suppress(boxes, ["x", "y"], 0.5, group=["t"], cell={"x": 16.0, "y": 16.0}).orderBy("id").collect()
+    assert [(r.tile, r.row) for r in got] == sorted(r[:2] for r in kept) and [r.id for r in got] == list(range(1, len(kept) + 1))
+
+
+def test_suppression_by_rounds_needs_no_python_on_the_boxes(spark, monkeypatch):
+    monkeypatch.setattr(VB, "connected_components", lambda *a: pytest.fail("short chains of overlaps are settled in rounds"))
+    boxes = spark.createDataFrame([(0, i, 4.0 * i, 4.0 * i + 8, 0.0, 4.0, float(-i)) for i in range(9)], "tile long, row int, x_start double, x_stop double, y_start double, y_stop double, score double")
+    assert [r.row for r in VB.suppress(boxes, ["x", "y"], 0.3).orderBy("id").collect()] == [0, 2, 4, 6, 8]
+
+
 def broadcasts(df):
     df.collect()
     return "BroadcastExchange" in df._jdf.queryExecution().executedPlan().toString()
